@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roamer.llm import exact_dedup, jaccard, sharding
+from roamer.llm import bpe, exact_dedup, jaccard, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed vocabulary files lie."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_divideskip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -50,7 +61,7 @@ WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_divideskip_join": op4_divideskip_join, "op7_feistel_sharding": op7_feistel_sharding, "op8_bloom_dedup": op8_bloom_dedup}
+    return {"op1_bpe_word_table": op1_bpe_word_table, "op4_divideskip_join": op4_divideskip_join, "op7_feistel_sharding": op7_feistel_sharding, "op8_bloom_dedup": op8_bloom_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
