@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roamer.llm import bpe, exact_dedup, jaccard, sharding
+from roamer.llm import bpe, decontam, exact_dedup, jaccard, langid, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,18 @@ def op1_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_divideskip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=16)
 
@@ -61,7 +69,7 @@ WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe_word_table": op1_bpe_word_table, "op4_divideskip_join": op4_divideskip_join, "op7_feistel_sharding": op7_feistel_sharding, "op8_bloom_dedup": op8_bloom_dedup}
+    return {"op1_bpe_word_table": op1_bpe_word_table, "op2_hyperdimensional_langid": op2_hyperdimensional_langid, "op4_divideskip_join": op4_divideskip_join, "op6_template_decontamination": op6_template_decontamination, "op7_feistel_sharding": op7_feistel_sharding, "op8_bloom_dedup": op8_bloom_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
