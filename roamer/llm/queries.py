@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roamer.llm import bpe, decontam, exact_dedup, jaccard, langid, sharding
+from roamer.llm import bpe, decontam, exact_dedup, html_text, jaccard, langid, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.summary(warc.round_trip(_table(spark, sf_dir, "pages"), least=0))
+
+
 def op4_divideskip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -44,6 +48,10 @@ def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -69,7 +77,16 @@ WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe_word_table": op1_bpe_word_table, "op2_hyperdimensional_langid": op2_hyperdimensional_langid, "op4_divideskip_join": op4_divideskip_join, "op6_template_decontamination": op6_template_decontamination, "op7_feistel_sharding": op7_feistel_sharding, "op8_bloom_dedup": op8_bloom_dedup}
+    return {
+        "op1_bpe_word_table": op1_bpe_word_table,
+        "op2_hyperdimensional_langid": op2_hyperdimensional_langid,
+        "op3_warc_assembly": op3_warc_assembly,
+        "op4_divideskip_join": op4_divideskip_join,
+        "op6_template_decontamination": op6_template_decontamination,
+        "op7_feistel_sharding": op7_feistel_sharding,
+        "op8_bloom_dedup": op8_bloom_dedup,
+        "op9_html_main_text": op9_html_main_text,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
