@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roamer.llm import bpe, decontam, exact_dedup, html_text, jaccard, langid, sharding, warc
+from roamer.llm import bpe, decontam, exact_dedup, html_text, jaccard, langid, licenses, sharding, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_divideskip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op5_license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +56,10 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.recount(_table(spark, sf_dir, "documents"), tokenizer_path(), token_counts.redactions)
+
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -82,12 +90,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_hyperdimensional_langid": op2_hyperdimensional_langid,
         "op3_warc_assembly": op3_warc_assembly,
         "op4_divideskip_join": op4_divideskip_join,
+        "op5_license_sentence_rules": op5_license_sentence_rules,
         "op6_template_decontamination": op6_template_decontamination,
         "op7_feistel_sharding": op7_feistel_sharding,
         "op8_bloom_dedup": op8_bloom_dedup,
         "op9_html_main_text": op9_html_main_text,
+        "op10_edit_aware_token_counts": op10_edit_aware_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_divideskip_join": OP4_SQL, "op8_bloom_dedup": OP8_SQL}
+    return {"op4_divideskip_join": OP4_SQL, "op5_license_sentence_rules": licenses.sql(), "op8_bloom_dedup": OP8_SQL}
