@@ -30,6 +30,7 @@ columns aren't read.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -200,27 +201,32 @@ def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", te
     take = f"least(n, n - {t} + {ell('n')})"
     need = f"({take} - {ell(t)} + 1 - ({take} - size(got)))"
     own = hits.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("got"))
-    own = written(own.withColumn("need", F.expr(need)).where("need > 0").select("cls", F.explode(F.expr("slice(got, 1, int(need))")).alias("x")).select("cls", F.col("x.key").alias("key")), "jaccard-short")
-    hubs = own.groupBy("key").agg(F.min("cls").alias("hub"))
-    groups = written(components(own.join(hubs, "key").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))), "jaccard-groups")
-    reps = written(sets.where("cls is not null and id is not null").join(groups, F.col("cls") == F.col("node"), "left_semi").groupBy("cls").agg(F.min("id").alias("rep")).join(groups, F.col("cls") == F.col("node")).select("cls", "rep", "root"), "jaccard-reps")
+    # Linked documents differ in size by a factor of den / num at most, so each is listed in its own band of
+    # sizes and in the next (bands are 1 % wider than that factor, against rounding).
+    band = f"int(floor(ln(n) / {math.log(1.01 * den / num)!r}))"
+    own = own.withColumn("need", F.expr(need)).where("need > 0").select("cls", F.explode(F.expr("slice(got, 1, int(need))")).alias("x"), F.expr(band).alias("band"))
+    own = own.select("cls", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("x.key").alias("key"))
+    own = written(own.select(F.xxhash64("key", "band").alias("key"), "cls", F.xxhash64("cls", "band").alias("node")), "jaccard-short")
+    hubs = own.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
+    met = own.join(hubs, "key")
+    groups = components(met.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    groups = written(met.select("node", "cls").distinct().join(groups, "node").select("cls", "root"), "jaccard-groups")
+    reps = written(sets.where("cls is not null and id is not null").join(groups.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("rep")), "jaccard-reps")
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.expr(f"int(ceil(size / {GROUP // 2}))")
-    sized = reps.join(reps.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").withColumn("blocks", F.when(F.col("size") <= GROUP, 1).otherwise(blocks))
-    dealt = written(
-        sized.withColumn("own", F.expr("int(pmod(xxhash64(cls), blocks))"))
+    dealt = (
+        groups.join(sizes, "root")
+        .withColumn("blocks", F.when(F.col("size") <= GROUP, 1).otherwise(blocks))
+        .withColumn("own", F.expr("int(pmod(xxhash64(cls), blocks))"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("cls", "rep", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "blocks"),
-        "jaccard-dealt",
+        .select("cls", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
     bits = filter_bits(reps.count())
     picked = probed(plain.withColumn("slot", slot(F.col("id"), bits)), "slot", filter_of(reps.select(slot(F.col("rep"), bits).alias("slot")), "slot"), "maybe").where("maybe").select("id", "text")
-    work = dealt.join(picked, F.col("rep") == F.col("id")).select("root", "i", "j", "cls", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = written(work.mapInArrow(_search(num, den, k), "a long, b long"), "jaccard-links")
-    if dealt.where("blocks > 1").limit(1).count():
-        linked = components(links).select(F.col("node").alias("cls"), "root")
-    else:  # each group was searched in one piece, so its links are stars already
-        linked = links.select(F.col("a").alias("cls"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("cls"), F.col("b").alias("root")).distinct())
-    return sets, linked
+    found = reps.join(picked, F.col("rep") == F.col("id")).select("cls", "text")
+    work = dealt.join(found, "cls").select("root", "i", "j", "cls", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    links = work.mapInArrow(_search(num, den, k), "a long, b long")
+    return sets, components(links).select(F.col("node").alias("cls"), "root")
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
