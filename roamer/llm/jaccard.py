@@ -240,3 +240,16 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str
         "jaccard-components",
     )
     return sets.join(known, "cls", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each linked group those with the smallest id.
+
+    Rows are shuffled only if a filter of fixed size can't rule out that they go.
+    """
+    gone = written(join(docs, k, num, den, id_col, text_col).where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone")).distinct(), "jaccard-gone")
+    bits = filter_bits(gone.count())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
+    seen = probed(rows.withColumn("slot", slot(F.col("id"), bits)), "slot", filter_of(gone.select(slot(F.col("gone"), bits).alias("slot")), "slot"), "maybe")
+    stay = seen.where("maybe").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return seen.where("not maybe").select("row.*").unionByName(stay.select("row.*"))
