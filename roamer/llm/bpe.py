@@ -4,7 +4,7 @@ Encoding splits every text into pre-tokens ("words") inside Spark, with the
 tokenizer's own pattern; ids of a text are the ids of its words in order. The
 words go through a distinct-word table, so that each is encoded once:
 
-1. A chunk (about 16 MB of text from one task) keeps its distinct words, dealt
+1. A chunk (about 32 MB of text from one task) keeps its distinct words, dealt
    into parts by a hash of the word, and for each text the positions of its
    words among them. Chunks are written to the shared folder.
 2. The parts are shuffled. A part holds all words of one hash range from all
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from roamer.llm.store import written
 
 #: Bytes of text in a chunk.
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 
 #: Fixed value: the pre-token pattern of the byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -117,6 +117,17 @@ def unpack(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def pack_words(words: pa.Array) -> tuple[bytes, bytes]:
+    """Lengths and bytes of words in order, compressed."""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return pack(np.diff(ends)), zstandard.ZstdCompressor(level=3).compress(words.buffers()[2][ends[0] : ends[-1]].to_pybytes())
+
+
+def unpack_words(lengths: bytes, data: bytes) -> list[str]:
+    ends = np.concatenate([[0], np.cumsum(unpack(lengths).astype(np.int64))])
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(zstandard.ZstdDecompressor().decompress(data))).to_pylist()
+
+
 def _runs(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``size`` bytes of words, one row at least."""
     words = batch.column(1)
@@ -139,25 +150,30 @@ def _chunks(parts: int, size: int) -> Callable:
             for batch in _runs(whole, size):
                 counts = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
                 coded = batch.column(1).flatten().cast(pa.large_string()).dictionary_encode()
+                n = len(coded.dictionary)
                 part = np.array([zlib.crc32(w.encode()) % parts for w in coded.dictionary.to_pylist()], np.int64)
-                order = np.argsort(part, kind="stable")
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
+                order = np.lexsort((pc.rank(coded.dictionary, tiebreaker="first").to_numpy(zero_copy_only=False), part)) if n else np.empty(0, np.int64)
+                place = np.empty(n, np.int64)
+                place[order] = np.arange(n)
+                # frequent words get small numbers, which pack well
+                seen = coded.indices.to_numpy(zero_copy_only=False)
+                common = np.argsort(-np.bincount(seen, minlength=n), kind="stable")
+                rank = np.empty(n, np.int64)
+                rank[common] = np.arange(n)
                 words, bounds = coded.dictionary.take(pa.array(order)), np.searchsorted(part[order], np.arange(parts + 1))
                 kept = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
-                lists = pa.ListArray.from_arrays(pa.array([*bounds[kept], bounds[-1]] if kept else [0], pa.int32()), words.cast(pa.string())) if kept else pa.array([], pa.list_(pa.string()))
-                at = pack(place[coded.indices.to_numpy()] if len(place) else np.empty(0))
-                n = len(kept)
+                asked = [pack_words(words.slice(bounds[p], bounds[p + 1] - bounds[p])) for p in kept]
+                rows = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), pa.concat_arrays([batch.column(0)]))
                 yield pa.record_batch(
                     [
-                        pa.array([number] * (n + 1), pa.int64()),
+                        pa.array([number] * (len(kept) + 1), pa.int64()),
                         pa.array([*kept, parts], pa.int32()),
-                        pa.concat_arrays([lists, pa.nulls(1, lists.type)]),
-                        pa.array([None] * n + [at], pa.binary()),
-                        pa.array([None] * n + [pack(counts)], pa.binary()),
-                        pa.concat_arrays([pa.nulls(n, pa.list_(batch.column(0).type)), pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), pa.concat_arrays([batch.column(0)])).cast(pa.list_(batch.column(0).type))]),
+                        pa.array([x[0] for x in asked] + [pack(rank[seen])], pa.binary()),
+                        pa.array([x[1] for x in asked] + [pack(counts)], pa.binary()),
+                        pa.array([None] * len(kept) + [pack(place[common])], pa.binary()),
+                        pa.concat_arrays([pa.nulls(len(kept), rows.type), rows]),
                     ],
-                    names=["chunk", "part", "words", "a", "b", "ids"],
+                    names=["chunk", "part", "a", "b", "c", "ids"],
                 )
                 number += 1
 
@@ -169,8 +185,8 @@ def _encoded(source: str) -> Callable:
         tokenizer, part, table = loaded(source), None, {}
         for batch in batches:
             lens, ids = [], []
-            for p, words in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                words = words.as_py()
+            for p, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                words = unpack_words(a.as_py(), b.as_py())
                 if p != part:
                     part, table = p, {}
                 new = [w for w in words if w not in table]
@@ -188,12 +204,12 @@ def _assembled(parts: int, finish: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lens, ids = [], []
         for batch in batches:
-            for p, a, b, rows in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4), strict=True):
+            for p, a, b, c, rows in zip(batch.column(1).to_pylist(), *(batch.column(i) for i in range(2, 6)), strict=True):
                 if p < parts:
                     lens.append(unpack(a.as_py()))
                     ids.append(unpack(b.as_py()))
                     continue
-                at, counts = unpack(a.as_py()), unpack(b.as_py()).astype(np.int64)
+                at, counts = unpack(c.as_py())[unpack(a.as_py())], unpack(b.as_py()).astype(np.int64)
                 size = np.concatenate([[0], *lens]).astype(np.int64)
                 flat = pa.array(np.concatenate([np.empty(0, "<u4"), *ids]).astype(np.uint32))
                 tokens = pa.LargeListArray.from_arrays(pa.array(np.cumsum(size)), flat).take(pa.array(at)).flatten()
@@ -237,11 +253,11 @@ def _run(docs: DataFrame, source: str, id_col: str, text_col: str, finish: Calla
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = docs.select(F.col(id_col).alias("id"), split_words(F.col(text_col), source).alias("words"))
     chunks = written(
-        words.mapInArrow(_chunks(parts, chunk), f"chunk long, part int, words array<string>, a binary, b binary, ids array<{kind}>"), "bpe-chunks", **{"parquet.block.size": str(CHUNK)}
+        words.mapInArrow(_chunks(parts, chunk), f"chunk long, part int, a binary, b binary, c binary, ids array<{kind}>"), "bpe-chunks", **{"parquet.block.size": str(CHUNK)}
     )
-    asked = chunks.where(F.col("part") < parts).select("part", "chunk", "words").repartition("part").sortWithinPartitions("part")
+    asked = chunks.where(F.col("part") < parts).select("part", "chunk", "a", "b").repartition("part").sortWithinPartitions("part")
     answers = asked.mapInArrow(_encoded(source), "chunk long, part int, a binary, b binary")
-    places = chunks.where(F.col("part") == parts).select("chunk", "part", "a", "b", "ids")
+    places = chunks.where(F.col("part") == parts).select("chunk", "part", "a", "b", "c", "ids")
     back = answers.unionByName(places, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "part")
     out = back.mapInArrow(_assembled(parts, finish), f"id {kind}, {columns}")
     return out.withColumnRenamed("id", id_col)
