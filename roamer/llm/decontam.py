@@ -121,11 +121,14 @@ class Items:
                 self.hashes.append(h[a:b])
                 self.kind.append(t[a:b])
                 self.windows.append(windows(h[a:b], t[a:b], min(k, b - a)) if b > a else np.empty(0, U64))
-        values = np.concatenate([np.empty(0, U64), *self.windows])
+        # A document may hold an item in mid-sentence, where its first word, if capitalised, is a name.
+        begins = [windows(h[:k], np.concatenate([[NAME], t[1:k]]).astype(np.int8), min(k, len(h))) for h, t in zip(self.hashes, self.kind, strict=True) if len(h)]
+        some = [i for i, h in enumerate(self.hashes) if len(h)]
+        values = np.concatenate([np.empty(0, U64), *self.windows, *begins])
         order = np.argsort(values, kind="stable")
         self.values = values[order]
-        self.item = np.repeat(np.arange(len(ids)), [len(w) for w in self.windows])[order]
-        self.place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(w)) for w in self.windows)])[order]
+        self.item = np.concatenate([np.repeat(np.arange(len(self.windows)), [len(w) for w in self.windows]), np.array(some, np.int64)])[order]
+        self.place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(w)) for w in self.windows), np.zeros(len(some), np.int64)])[order]
         self.lengths = sorted({min(k, len(h)) for h in self.hashes if len(h)})
 
     def matches(self, hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, bool]]:
@@ -173,7 +176,7 @@ class Items:
             covered, changed = set(), False
             for g in [lead] + [g for g in by_size if g != lead and abs(g - lead) <= span]:
                 for q in sorted(diagonals[g]):
-                    slots = [(int(self.kind[i][r]), int(self.hashes[i][r]), int(hashes[g + r])) for r in range(q, q + k) if self.kind[i][r]]
+                    slots = [(int(kind[g + r]), int(self.hashes[i][r]), int(hashes[g + r])) for r in range(q, q + k) if kind[g + r]]
                     if all(there.get((t, u), v) == v and back.get((t, v), u) == u for t, u, v in slots):
                         for t, u, v in slots:
                             there[t, u], back[t, v] = v, u
