@@ -172,7 +172,7 @@ f(uid, rn, plon, plat, pt, alon, alat, a_t, tid, fresh, n, start_ts, length_km,
   UNION ALL
   SELECT f.uid, x.rn,
     CASE WHEN x.fast THEN plon ELSE lon END, CASE WHEN x.fast THEN plat ELSE lat END, CASE WHEN x.fast THEN pt ELSE t END,
-    CASE WHEN x.fast THEN alon WHEN x.stop OR x.away > 0.05 THEN lon ELSE alon END, CASE WHEN x.fast THEN alat WHEN x.stop OR x.away > 0.05 THEN lat ELSE alat END, CASE WHEN x.fast THEN at WHEN x.stop OR x.away > 0.05 THEN t ELSE a_t END,
+    CASE WHEN x.fast THEN alon WHEN x.stop OR x.away > 0.05 THEN lon ELSE alon END, CASE WHEN x.fast THEN alat WHEN x.stop OR x.away > 0.05 THEN lat ELSE alat END, CASE WHEN x.fast THEN a_t WHEN x.stop OR x.away > 0.05 THEN t ELSE a_t END,
     CASE WHEN NOT x.fast AND x.stop THEN tid + 1 ELSE tid END, CASE WHEN x.fast THEN fresh ELSE x.stop END,
     CASE WHEN x.fast THEN n WHEN x.stop THEN 2 ELSE n + 1 END, CASE WHEN NOT x.fast AND x.stop THEN t ELSE start_ts END,
     CASE WHEN x.fast THEN length_km WHEN x.stop THEN 0.0 ELSE length_km + x.hop END, NOT x.fast
