@@ -111,21 +111,43 @@ def _points(v) -> list[Point]:
     return [(z["lon"], z["lat"], float(z["ts"])) for z in v]
 
 
-@F.pandas_udf("double")
-def trip_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+def trip_distance(a: Column | str, b: Column | str) -> Column:
     """synchronised() over array<struct(lon, lat, ts)> columns, in Arrow batches."""
-    return pd.Series([synchronised(_points(x), _points(y)) for x, y in zip(a, b, strict=True)])
 
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([synchronised(_points(p), _points(q)) for p, q in zip(x, y, strict=True)])
 
-@F.pandas_udf("double")
-def trip_inclusion(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
-    return pd.Series([inclusion(_points(x), _points(y), z) for x, y, z in zip(a, b, limit, strict=True)])
+    return F.pandas_udf(run, "double")(a, b)
 
 
-@F.pandas_udf("up_metres double, down_metres double, up_segment int, down_segment int, up_late double, down_late double, total double")
-def trip_inclusion_in_time(a: pd.Series, b: pd.Series, limit: pd.Series, seconds: pd.Series) -> pd.DataFrame:
-    none = dict.fromkeys(("up_metres", "down_metres", "up_segment", "down_segment", "up_late", "down_late", "total"))
-    return pd.DataFrame([inclusion_in_time(_points(x), _points(y), m, s) or none for x, y, m, s in zip(a, b, limit, seconds, strict=True)], columns=list(none))
+def trip_inclusion(a: Column | str, b: Column | str, limit: float) -> Column:
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([inclusion(_points(p), _points(q), limit) for p, q in zip(x, y, strict=True)])
+
+    return F.pandas_udf(run, "double")(a, b)
+
+
+SHARED = "up_metres double, down_metres double, up_segment int, down_segment int, up_late double, down_late double, total double"
+
+
+def trip_inclusion_in_time(a: Column | str, b: Column | str, limit: float, seconds: float) -> Column:
+    """inclusion_in_time() as a struct; its fields are null where the way can't be shared."""
+    none = dict.fromkeys(c.split()[0] for c in SHARED.split(", "))
+
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([inclusion_in_time(_points(p), _points(q), limit, seconds) or none for p, q in zip(x, y, strict=True)], columns=list(none))
+
+    return F.pandas_udf(run, SHARED)(a, b)
+
+
+def trip_approximation(a: Column | str, b: Column | str, limit: float) -> Column:
+    """approximation() of trip b by routine a as a struct."""
+    fields = ("metres", "compared", "left", "late")
+
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([approximation(_points(p), _points(q), limit) or dict.fromkeys(fields) for p, q in zip(x, y, strict=True)], columns=list(fields), dtype=float)
+
+    return F.pandas_udf(run, ", ".join(f"{f} double" for f in fields))(a, b)
 
 
 def ends_distance(a: Column, b: Column, start: bool = True, end: bool = True) -> Column:

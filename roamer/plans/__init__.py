@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from roamer.plans import basic, features, mobility
+from roamer.plans import basic, electric, features, mobility
 from roamer.plans.registry import QUERIES, SQL, Query
 
-MODULES = (basic, mobility, features)
+MODULES = (basic, mobility, features, electric)
 
 
 def all_queries() -> dict[str, Query]:

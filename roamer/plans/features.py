@@ -306,7 +306,7 @@ def t05_sub_trips(spark, sf):
 @query(None)
 def t06_t07_t10_t11_trip_distances(spark, sf):
     p = _pairs(spark, sf)
-    return p.select("uid", "tid", "other", F.round(tripdist.trip_distance("a", "b"), 3).alias("distance"), F.round(tripdist.trip_inclusion("a", "b", F.lit(50000.0)), 3).alias("inclusion"), tripdist.trip_inclusion_in_time("a", "b", F.lit(20000.0), F.lit(7200.0)).alias("shared"), F.size(tripdist.tail_of(F.col("a"), 5000.0)).alias("n_tail"))
+    return p.select("uid", "tid", "other", F.round(tripdist.trip_distance("a", "b"), 3).alias("distance"), F.round(tripdist.trip_inclusion("a", "b", 50000.0), 3).alias("inclusion"), tripdist.trip_inclusion_in_time("a", "b", 20000.0, 7200.0).alias("shared"), F.round(tripdist.trip_approximation("a", "b", 50000.0)["compared"], 3).alias("approximation"), F.size(tripdist.tail_of(F.col("a"), 5000.0)).alias("n_tail"))
 
 
 @query(None)
