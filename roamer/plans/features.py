@@ -320,7 +320,7 @@ def k20_semantic_clusters(spark, sf):
 def m05_m06_f19_risk_model(spark, sf):
     from roamer.operators import risk
 
-    f = feature_table(spark, sf)
+    f = feature_table(spark, sf).cache()  # fitting and scoring read it several times
     cols = features.families(f.columns, "tic")
     model = risk.train(f, cols)
     return risk.score(model, f)
