@@ -106,21 +106,32 @@ def split_words(text: Column, source: str) -> Column:
     return F.when(found, apart).otherwise(each(text))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit values, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    """Unsigned 32-bit values, compressed: a byte for each up to 254, the rest byte plane by byte plane."""
+    z = zstandard.ZstdCompressor(level=9)
+    low, rest = z.compress(np.minimum(x, 255).astype(np.uint8).tobytes()), z.compress(_planes(x[x >= 255]))
+    return len(low).to_bytes(8, "little") + low + rest
 
 
 def unpack(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    z, cut = zstandard.ZstdDecompressor(), 8 + int.from_bytes(x[:8], "little")
+    out = np.frombuffer(z.decompress(x[8:cut]), np.uint8).astype("<u4")
+    out[out == 255] = _unplaned(z.decompress(x[cut:]))
+    return out
 
 
 def pack_words(words: pa.Array) -> tuple[bytes, bytes]:
     """Lengths and bytes of words in order, compressed."""
     ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    return pack(np.diff(ends)), zstandard.ZstdCompressor(level=3).compress(words.buffers()[2][ends[0] : ends[-1]].to_pybytes())
+    return pack(np.diff(ends)), zstandard.ZstdCompressor(level=9).compress(words.buffers()[2][ends[0] : ends[-1]].to_pybytes())
 
 
 def unpack_words(lengths: bytes, data: bytes) -> list[str]:
