@@ -4,7 +4,7 @@ Encoding splits every text into pre-tokens ("words") inside Spark, with the
 tokenizer's own pattern; ids of a text are the ids of its words in order. The
 words go through a distinct-word table, so that each is encoded once:
 
-1. A chunk (about 32 MB of text from one task) keeps its distinct words, dealt
+1. A chunk (about 30 MB of text from one task) keeps its distinct words, dealt
    into parts by a hash of the word, and for each text the positions of its
    words among them. Chunks are written to the shared folder.
 2. The parts are shuffled. A part holds all words of one hash range from all
@@ -44,10 +44,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roamer.llm.store import written
+from roamer.llm.store import short_batches, written
 
-#: Bytes of text in a chunk.
-CHUNK = 32 << 20
+#: Bytes of words and of their offsets in a chunk, at which it is closed.
+CHUNK = 56 << 20
 
 #: Fixed value: the pre-token pattern of the byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -139,54 +139,54 @@ def unpack_words(lengths: bytes, data: bytes) -> list[str]:
     return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(zstandard.ZstdDecompressor().decompress(data))).to_pylist()
 
 
-def _runs(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``size`` bytes of words, one row at least."""
-    words = batch.column(1)
-    ends = np.frombuffer(words.flatten().cast(pa.large_string()).buffers()[1], np.int64)
-    row = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    at = ends[row] - ends[0]
-    first = 0
-    while first < len(words):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
-        yield batch.slice(first, last - first)
-        first = last
-
-
 def _chunks(parts: int, size: int) -> Callable:
+    def chunk(number: int, ids: list[pa.Array], counts: list[np.ndarray], coded: list[pa.Array]) -> pa.RecordBatch:
+        whole = pa.chunked_array(coded).unify_dictionaries()
+        words = whole.chunk(0).dictionary
+        n = len(words)
+        part = np.array([zlib.crc32(w.encode()) % parts for w in words.to_pylist()], np.int64)
+        order = np.lexsort((pc.rank(words, tiebreaker="first").to_numpy(zero_copy_only=False), part)) if n else np.empty(0, np.int64)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        # words get numbers that pack well: repeated ones by falling count, then the rest in order of place
+        seen = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in whole.chunks])
+        times = np.bincount(seen, minlength=n)
+        often = np.argsort(-times, kind="stable")[: int((times > 2).sum())]
+        rank = np.empty(n, "<u4")
+        rank[np.concatenate([often, order[times[order] <= 2]])] = np.arange(n, dtype="<u4")
+        words, bounds = words.take(pa.array(order)).cast(pa.large_string()), np.searchsorted(part[order], np.arange(parts + 1))
+        kept = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
+        asked = [pack_words(words.slice(bounds[p], bounds[p + 1] - bounds[p])) for p in kept]
+        own = pa.concat_arrays(ids)
+        rows = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+        return pa.record_batch(
+            [
+                pa.array([number] * (len(kept) + 1), pa.int64()),
+                pa.array([*kept, parts], pa.int32()),
+                pa.array([x[0] for x in asked] + [pack(rank[seen])], pa.binary()),
+                pa.array([x[1] for x in asked] + [pack(np.concatenate(counts))], pa.binary()),
+                pa.array([None] * len(kept) + [pack(place[often])], pa.binary()),
+                pa.concat_arrays([pa.nulls(len(kept), rows.type), rows]),
+            ],
+            names=["chunk", "part", "a", "b", "c", "ids"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for batch in _runs(whole, size):
-                counts = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
-                coded = batch.column(1).flatten().cast(pa.large_string()).dictionary_encode()
-                n = len(coded.dictionary)
-                part = np.array([zlib.crc32(w.encode()) % parts for w in coded.dictionary.to_pylist()], np.int64)
-                order = np.lexsort((pc.rank(coded.dictionary, tiebreaker="first").to_numpy(zero_copy_only=False), part)) if n else np.empty(0, np.int64)
-                place = np.empty(n, np.int64)
-                place[order] = np.arange(n)
-                # frequent words get small numbers, which pack well
-                seen = coded.indices.to_numpy(zero_copy_only=False)
-                common = np.argsort(-np.bincount(seen, minlength=n), kind="stable")
-                rank = np.empty(n, np.int64)
-                rank[common] = np.arange(n)
-                words, bounds = coded.dictionary.take(pa.array(order)), np.searchsorted(part[order], np.arange(parts + 1))
-                kept = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
-                asked = [pack_words(words.slice(bounds[p], bounds[p + 1] - bounds[p])) for p in kept]
-                rows = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), pa.concat_arrays([batch.column(0)]))
-                yield pa.record_batch(
-                    [
-                        pa.array([number] * (len(kept) + 1), pa.int64()),
-                        pa.array([*kept, parts], pa.int32()),
-                        pa.array([x[0] for x in asked] + [pack(rank[seen])], pa.binary()),
-                        pa.array([x[1] for x in asked] + [pack(counts)], pa.binary()),
-                        pa.array([None] * len(kept) + [pack(place[common])], pa.binary()),
-                        pa.concat_arrays([pa.nulls(len(kept), rows.type), rows]),
-                    ],
-                    names=["chunk", "part", "a", "b", "c", "ids"],
-                )
-                number += 1
+        ids, counts, coded, held = [], [], [], 0
+        for batch in batches:
+            words = batch.column(1).flatten()
+            ids.append(batch.column(0))
+            counts.append(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            coded.append(words.dictionary_encode())
+            held += words.nbytes
+            if held >= size:
+                yield chunk(number, ids, counts, coded)
+                number, ids, counts, coded, held = number + 1, [], [], [], 0
+        if ids:
+            yield chunk(number, ids, counts, coded)
 
     return run
 
@@ -220,25 +220,35 @@ def _assembled(parts: int, finish: Callable) -> Callable:
                     lens.append(unpack(a.as_py()))
                     ids.append(unpack(b.as_py()))
                     continue
-                at, counts = unpack(c.as_py())[unpack(a.as_py())], unpack(b.as_py()).astype(np.int64)
                 size = np.concatenate([[0], *lens]).astype(np.int64)
+                often, rest = unpack(c.as_py()), np.ones(len(size) - 1, bool)
+                rest[often] = False
+                at = np.concatenate([often, np.flatnonzero(rest)]).astype("<u4")[unpack(a.as_py())]
+                counts = unpack(b.as_py()).astype(np.int64)
                 flat = pa.array(np.concatenate([np.empty(0, "<u4"), *ids]).astype(np.uint32))
                 tokens = pa.LargeListArray.from_arrays(pa.array(np.cumsum(size)), flat).take(pa.array(at)).flatten()
                 upto = np.concatenate([[0], np.cumsum(size[1:][at])]) if len(at) else np.zeros(1, np.int64)
                 bounds = upto[np.concatenate([[0], np.cumsum(counts)])]
-                yield finish(rows.values, tokens, bounds)
+                whole = finish(rows.values, tokens, bounds)
+                for k in range(0, len(whole), 500):
+                    yield whole.slice(k, 500)
                 lens, ids = [], []
 
     return run
 
 
-def decoded_bytes(source: str, tokens: pa.Array, bounds: np.ndarray) -> Iterator[bytes]:
-    """UTF-8 of the decoded text of each run of ids: the id-to-piece join, then concatenation."""
-    joined = pieces(source).take(tokens)
-    at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
-    data = memoryview(joined.buffers()[2] or b"")
-    for a, b in zip(at[bounds[:-1]].tolist(), at[bounds[1:]].tolist(), strict=True):
-        yield bytes(data[a:b]).decode("utf-8", "replace").encode()
+def decoded_bytes(source: str, tokens: pa.Array, bounds: np.ndarray, run: int = 1 << 19) -> Iterator[bytes]:
+    """UTF-8 of the decoded text of each run of ids: the id-to-piece join, then concatenation; about ``run`` ids at a time."""
+    first = 0
+    while first < len(bounds) - 1:
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + run, "right")) - 1)
+        joined = pieces(source).take(tokens.slice(bounds[first], bounds[last] - bounds[first]))
+        at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+        data = memoryview(joined.buffers()[2] or b"")
+        own = at[bounds[first : last + 1] - bounds[first]].tolist()
+        for a, b in zip(own[:-1], own[1:], strict=True):
+            yield bytes(data[a:b]).decode("utf-8", "replace").encode()
+        first = last
 
 
 def _digests(source: str, with_ids: bool) -> Callable:
@@ -260,11 +270,12 @@ def _token_lists(rows: pa.Array, tokens: pa.Array, bounds: np.ndarray) -> pa.Rec
 
 def _run(docs: DataFrame, source: str, id_col: str, text_col: str, finish: Callable, columns: str, chunk: int) -> DataFrame:
     spark = docs.sparkSession
+    short_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = docs.select(F.col(id_col).alias("id"), split_words(F.col(text_col), source).alias("words"))
     chunks = written(
-        words.mapInArrow(_chunks(parts, chunk), f"chunk long, part int, a binary, b binary, c binary, ids array<{kind}>"), "bpe-chunks", **{"parquet.block.size": str(CHUNK)}
+        words.mapInArrow(_chunks(parts, chunk), f"chunk long, part int, a binary, b binary, c binary, ids array<{kind}>"), "bpe-chunks", **{"parquet.block.size": str(16 << 20)}
     )
     asked = chunks.where(F.col("part") < parts).select("part", "chunk", "a", "b").repartition("part").sortWithinPartitions("part")
     answers = asked.mapInArrow(_encoded(source), "chunk long, part int, a binary, b binary")

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roamer.llm.kernels import LOWER, U64, blocks, folded, mix, word_hashes, words
+from roamer.llm.store import short_batches
 
 WINDOW = 5
 #: Consistent windows per 100 windows of an item.
@@ -222,6 +223,7 @@ def _pairs(ids: list, texts: pa.Array) -> Callable:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item (of long type) that contaminates it: id, item_id, n_matched, n_windows, reparameterised."""
+    short_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     columns = f"id {docs.schema[id_col].dataType.simpleString()}, item_id long, n_matched long, n_windows long, reparameterised boolean"
     found = None
@@ -248,6 +250,7 @@ def _kept(ids: list, texts: pa.Array) -> Callable:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
+    short_batches(docs.sparkSession)
     for ids, texts in _item_blocks(benchmark, item_col, item_text, block):
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
         docs = rows.mapInArrow(_kept(ids, texts), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roamer.llm.store import written
+from roamer.llm.store import short_batches, written
 
 #: Distinct pages, and percent of the host's distinct pages, from which on a subtree is template.
 PAGES = 5
@@ -278,6 +278,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, url, text, n_chars."""
+    short_batches(pages.sparkSession)
     held, template = templates(pages, url_col, html_col)
     own = held.join(template, ["host", "key"]).groupBy("host", "html_hash").agg(F.flatten(F.collect_list("places")).alias("places"))
     own = written(own.select(F.col("host").alias("t_host"), F.col("html_hash").alias("t_hash"), "places"), "html-found")

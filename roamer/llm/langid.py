@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roamer.llm.store import short_batches
+
 #: Places of a vector.
 DIMENSIONS = 1024
 #: Characters of text whose vectors are made together (one text at least).
@@ -113,6 +115,7 @@ def _sums(dimensions: int) -> Callable:
 
 def learned(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensions: int = DIMENSIONS) -> dict[str, list[int]]:
     """The prototype of each language of the given rows (languages x dimensions numbers)."""
+    short_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sums = rows.mapInArrow(_sums(dimensions), "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     found = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("v")).select("lang", "v.value").collect()
@@ -146,6 +149,7 @@ def _predicted(prototypes: dict[str, list[int]], dimensions: int) -> Callable:
 
 def predict(docs: DataFrame, prototypes: dict[str, list[int]], keep: list[str], text_col: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
     """The columns ``keep`` of each row as struct ``row``, with ``lang`` (predicted) and ``score``."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_predicted(prototypes, dimensions), f"row {kind}, lang string, score double")

@@ -67,3 +67,15 @@ def probed(df: DataFrame, column: str, words: DataFrame, into: str) -> DataFrame
     words = words.select(F.col("word").alias("_probe_word"), F.col("bits").alias("_probe_bits"))
     hit = df.join(F.broadcast(words), F.shiftright(df[column], 6) == F.col("_probe_word"), "left")
     return hit.withColumn(into, F.coalesce(F.getbit("_probe_bits", F.col(column).bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))).drop("_probe_word", "_probe_bits")
+
+
+#: Rows of an Arrow batch between the JVM and a Python worker; texts of pages and documents are long.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let the session hand Arrow batches of at most ``BATCH_ROWS`` rows to Python: they bound what both sides buffer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roamer.llm.bpe import PATTERN, loaded, specials, split_words, tokenizer_json
+from roamer.llm.store import short_batches
 
 BLOCK = 64
 #: Distinct pre-tokens whose counts a task keeps; beyond, it starts anew.
@@ -269,6 +270,7 @@ def recount(docs: DataFrame, tokenizer_path: str, edits: str | Callable[[str], l
 
     ``edits`` names a column of array<struct<at, removed, inserted>> or is a function from a text to its edits.
     """
+    short_batches(docs.sparkSession)
     source = tokenizer_json(tokenizer_path)
     kind = docs.schema[id_col].dataType.simpleString()
     given = F.col(edits) if isinstance(edits, str) else F.coalesce(text_col, F.lit(""))
@@ -288,6 +290,7 @@ def _sums(source: str) -> Callable:
 
 def trees(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The leaves to keep: id, segments (pre-tokens in order) and tokens (their counts)."""
+    short_batches(docs.sparkSession)
     source = tokenizer_json(tokenizer_path)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), split_words(F.col(text_col), source).alias("segments"))
