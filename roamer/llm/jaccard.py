@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from roamer.llm.components import components
 from roamer.llm.kernels import U64, mix, shingle_sets
-from roamer.llm.store import filter_bits, filter_of, probed, slot, written
+from roamer.llm.store import filter_bits, filter_of, probed, short_batches, slot, written
 
 #: Classes searched together in one task; a larger group is searched block against block.
 GROUP = 8192
@@ -156,13 +156,14 @@ def _search(num: int, den: int, k: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def solved(cls: list[int], texts: list[pa.Array]) -> pa.RecordBatch:
-        first = {c: i for i, c in reversed(list(enumerate(cls)))}
-        text = pa.concat_arrays(texts).take(pa.array(first.values()))
-        nodes = list(first)
-        sets = list(shingle_sets(text, k))
-        order = sorted(range(len(nodes)), key=nodes.__getitem__)
-        root = Group([sets[i] for i in order], num, den).roots()
-        pairs = [(nodes[order[i]], nodes[order[r]]) for i, r in enumerate(root) if i != r]
+        found: dict[int, np.ndarray] = {}
+        for c, s in zip(cls, (s for t in texts for s in shingle_sets(t, k)), strict=True):
+            if c not in found and _set_hash(s) == c:  # rows that repeat an id may have other texts
+                found[c] = s
+        nodes = sorted(found)
+        sets = [found[c] for c in nodes]
+        root = Group(sets, num, den).roots() if sets else []
+        pairs = [(nodes[i], nodes[r]) for i, r in enumerate(root) if i != r]
         return pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +188,7 @@ def _search(num: int, den: int, k: int):
 
 def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(sets, links): (id, n, cls) of every row, and (cls, root) of every class linked to another."""
+    short_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     whole = written(plain.mapInArrow(_sets(num, den, k), "id long, n long, cls long, keys array<long>"), "jaccard-sets")
     sets = whole.select("id", "n", "cls")
@@ -195,19 +197,20 @@ def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", te
     long = written(lists.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key", "df"), "jaccard-lists")
     bits = filter_bits(long.count())
     maybe = probed(lists.withColumn("slot", slot(F.col("key"), bits)), "slot", filter_of(long.select(slot(F.col("key"), bits).alias("slot")), "slot"), "maybe").where("maybe")
-    hits = maybe.select("cls", "n", "key").join(long, "key").dropDuplicates(["cls", "key"])
+    hits = maybe.select("cls", "n", "key").join(long, "key")
     t = f"((n * {num} + {den - 1}) div {den})"
     ell = lambda n: f"(({n}) * {den - num} div {4 * den} + 1)"
     take = f"least(n, n - {t} + {ell('n')})"
     need = f"({take} - {ell(t)} + 1 - ({take} - size(got)))"
-    own = hits.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("got"))
+    own = hits.groupBy("cls", "n").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("got"))
     # Linked documents differ in size by a factor of den / num at most, so each is listed in its own band of
     # sizes and in the next (bands are 1 % wider than that factor, against rounding).
     band = f"int(floor(ln(n) / {math.log(1.01 * den / num)!r}))"
     own = own.withColumn("need", F.expr(need)).where("need > 0").select("cls", F.explode(F.expr("slice(got, 1, int(need))")).alias("x"), F.expr(band).alias("band"))
-    own = own.select("cls", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("x.key").alias("key"))
-    own = written(own.select(F.xxhash64("key", "band").alias("key"), "cls", F.xxhash64("cls", "band").alias("node")), "jaccard-short")
-    hubs = own.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
+    own = own.select("cls", F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))).alias("b"), F.col("x.key").alias("key"))
+    own = written(own.select(F.xxhash64("key", "b.band").alias("key"), "cls", F.xxhash64("cls", "b.band").alias("node"), "b.home"), "jaccard-short")
+    # A list without a document of its own band holds pairs that meet in the band below.
+    hubs = own.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.max("home").alias("home")).where("hub <> top and home").select("key", "hub")
     met = own.join(hubs, "key")
     groups = components(met.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     groups = written(met.select("node", "cls").distinct().join(groups, "node").select("cls", "root"), "jaccard-groups")
@@ -221,10 +224,11 @@ def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", te
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select("cls", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
-    bits = filter_bits(reps.count())
-    picked = probed(plain.withColumn("slot", slot(F.col("id"), bits)), "slot", filter_of(reps.select(slot(F.col("rep"), bits).alias("slot")), "slot"), "maybe").where("maybe").select("id", "text")
-    found = reps.join(picked, F.col("rep") == F.col("id")).select("cls", "text")
-    work = dealt.join(found, "cls").select("root", "i", "j", "cls", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    targets = written(reps.join(dealt, "cls").groupBy("rep").agg(F.collect_list(F.struct("root", "i", "j", "cls")).alias("to")), "jaccard-targets")
+    bits = filter_bits(targets.count())
+    picked = probed(plain.withColumn("slot", slot(F.col("id"), bits)), "slot", filter_of(targets.select(slot(F.col("rep"), bits).alias("slot")), "slot"), "maybe").where("maybe").select("id", "text")
+    work = targets.join(picked, F.col("rep") == F.col("id")).select(F.explode("to").alias("to"), "text").select("to.*", "text")
+    work = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     links = work.mapInArrow(_search(num, den, k), "a long, b long")
     return sets, components(links).select(F.col("node").alias("cls"), "root")
 
