@@ -211,7 +211,11 @@ def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", te
     own = written(own.select(F.xxhash64("key", "b.band").alias("key"), "cls", F.xxhash64("cls", "b.band").alias("node"), "b.home"), "jaccard-short")
     # A list without a document of its own band holds pairs that meet in the band below.
     hubs = own.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.max("home").alias("home")).where("hub <> top and home").select("key", "hub")
-    met = own.join(hubs, "key")
+    hubs = written(hubs, "jaccard-hubs")
+    # Most lists hold one document: their rows go by a filter of fixed size, without a shuffle.
+    bits = filter_bits(hubs.count())
+    maybe = probed(own.withColumn("slot", slot(F.col("key"), bits)), "slot", filter_of(hubs.select(slot(F.col("key"), bits).alias("slot")), "slot"), "maybe").where("maybe")
+    met = written(maybe.select("key", "cls", "node").join(hubs, "key").select("node", "cls", "hub"), "jaccard-met")
     groups = components(met.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     groups = written(met.select("node", "cls").distinct().join(groups, "node").select("cls", "root"), "jaccard-groups")
     reps = written(sets.where("cls is not null and id is not null").join(groups.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("rep")), "jaccard-reps")
