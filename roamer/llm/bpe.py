@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roamer.llm.store import short_batches, written
+from roamer.llm.store import lean, short_batches, written
 
 #: Bytes of words and of their offsets in a chunk, at which it is closed.
 CHUNK = 56 << 20
@@ -275,13 +275,13 @@ def _run(docs: DataFrame, source: str, id_col: str, text_col: str, finish: Calla
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = docs.select(F.col(id_col).alias("id"), split_words(F.col(text_col), source).alias("words"))
     chunks = written(
-        words.mapInArrow(_chunks(parts, chunk), f"chunk long, part int, a binary, b binary, c binary, ids array<{kind}>"), "bpe-chunks", **{"parquet.block.size": str(16 << 20)}
+        words.mapInArrow(lean(_chunks(parts, chunk)), f"chunk long, part int, a binary, b binary, c binary, ids array<{kind}>"), "bpe-chunks", **{"parquet.block.size": str(16 << 20)}
     )
     asked = chunks.where(F.col("part") < parts).select("part", "chunk", "a", "b").repartition("part").sortWithinPartitions("part")
-    answers = asked.mapInArrow(_encoded(source), "chunk long, part int, a binary, b binary")
+    answers = asked.mapInArrow(lean(_encoded(source)), "chunk long, part int, a binary, b binary")
     places = chunks.where(F.col("part") == parts).select("chunk", "part", "a", "b", "c", "ids")
     back = answers.unionByName(places, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "part")
-    out = back.mapInArrow(_assembled(parts, finish), f"id {kind}, {columns}")
+    out = back.mapInArrow(lean(_assembled(parts, finish)), f"id {kind}, {columns}")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roamer.llm.store import written
+from roamer.llm.store import lean, written
 
 
 #: Up to so many edges (16 bytes each) one task joins them; more are joined by rounds of stars.
@@ -48,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     if edges.count() <= SMALL:
-        return edges.coalesce(1).mapInArrow(_joined, "node long, root long")
+        return edges.coalesce(1).mapInArrow(lean(_joined), "node long, root long")
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roamer.llm.kernels import LOWER, U64, blocks, folded, mix, word_hashes, words
-from roamer.llm.store import short_batches
+from roamer.llm.store import lean, short_batches
 
 WINDOW = 5
 #: Consistent windows per 100 windows of an item.
@@ -228,7 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     columns = f"id {docs.schema[id_col].dataType.simpleString()}, item_id long, n_matched long, n_windows long, reparameterised boolean"
     found = None
     for ids, texts in _item_blocks(benchmark, item_col, item_text, block):
-        part = plain.mapInArrow(_pairs(ids, texts), columns)
+        part = plain.mapInArrow(lean(_pairs(ids, texts)), columns)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], columns)
@@ -253,5 +253,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     short_batches(docs.sparkSession)
     for ids, texts in _item_blocks(benchmark, item_col, item_text, block):
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-        docs = rows.mapInArrow(_kept(ids, texts), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+        docs = rows.mapInArrow(lean(_kept(ids, texts)), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
     return docs

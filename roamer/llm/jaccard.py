@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from roamer.llm.components import components
 from roamer.llm.kernels import U64, mix, shingle_sets
-from roamer.llm.store import filter_bits, filter_of, probed, short_batches, slot, written
+from roamer.llm.store import filter_bits, filter_of, lean, probed, short_batches, slot, written
 
 #: Classes searched together in one task; a larger group is searched block against block.
 GROUP = 8192
@@ -190,7 +190,7 @@ def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", te
     """(sets, links): (id, n, cls) of every row, and (cls, root) of every class linked to another."""
     short_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    whole = written(plain.mapInArrow(_sets(num, den, k), "id long, n long, cls long, keys array<long>"), "jaccard-sets")
+    whole = written(plain.mapInArrow(lean(_sets(num, den, k)), "id long, n long, cls long, keys array<long>"), "jaccard-sets")
     sets = whole.select("id", "n", "cls")
     lists = whole.where("keys is not null").select("cls", "n", F.explode("keys").alias("key"))
     # A class may have come from several tasks: its postings repeat, so a list counts as long only with two classes.
@@ -233,7 +233,7 @@ def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", te
     picked = probed(plain.withColumn("slot", slot(F.col("id"), bits)), "slot", filter_of(targets.select(slot(F.col("rep"), bits).alias("slot")), "slot"), "maybe").where("maybe").select("id", "text")
     work = targets.join(picked, F.col("rep") == F.col("id")).select(F.explode("to").alias("to"), "text").select("to.*", "text")
     work = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = work.mapInArrow(_search(num, den, k), "a long, b long")
+    links = work.mapInArrow(lean(_search(num, den, k)), "a long, b long")
     return sets, components(links).select(F.col("node").alias("cls"), "root")
 
 

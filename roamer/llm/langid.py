@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roamer.llm.store import short_batches
+from roamer.llm.store import lean, short_batches
 
 #: Places of a vector.
 DIMENSIONS = 1024
@@ -117,7 +117,7 @@ def learned(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dim
     """The prototype of each language of the given rows (languages x dimensions numbers)."""
     short_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sums = rows.mapInArrow(_sums(dimensions), "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
+    sums = rows.mapInArrow(lean(_sums(dimensions)), "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     found = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("v")).select("lang", "v.value").collect()
     return {r[0]: r[1] for r in sorted(found) if any(r[1])}
 
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[int]], keep: list[str],
     short_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predicted(prototypes, dimensions), f"row {kind}, lang string, score double")
+    return rows.mapInArrow(lean(_predicted(prototypes, dimensions)), f"row {kind}, lang string, score double")
 
 
 def is_held_out(id_: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,13 +72,35 @@ def probed(df: DataFrame, column: str, words: DataFrame, into: str) -> DataFrame
     return hit.withColumn(into, F.coalesce(F.getbit("_probe_bits", F.col(column).bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))).drop("_probe_word", "_probe_bits")
 
 
-#: Rows of an Arrow batch between the JVM and a Python worker; texts of pages and documents are long.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch between the JVM and a Python worker; texts of pages and documents are long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Let the session hand Arrow batches of at most ``BATCH_ROWS`` rows to Python: they bound what both sides buffer."""
+    """Let the session hand Arrow batches of bounded rows and bytes to Python: they bound what both sides buffer.
+
+    A row of more than ``BATCH_BYTES`` is a batch of its own.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow, giving a worker's freed memory back to the system when its task ends.
+
+    Workers are reused by later tasks and stages; what the allocators keep would add up over them.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+            if trim:
+                trim(0)
+
+    return wrapped
