@@ -1,13 +1,20 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences twice: with line ends as sentence ends, and with
-lines joined (wrapped notices). A sentence is normalised: ASCII lower case, every
+A text is cut into sentences three times: with line ends as sentence ends, with
+all lines joined, and by paragraphs (wrapped notices): there, lines without comment
+marks are joined, and blank lines, copyright lines, list items and titles are
+sentences of their own. A sentence is normalised: ASCII lower case, every
 run of other characters than letters and digits is one space, a copyright line
 is cut to ``copyright notice``,
 and phrases that put a work under a licence are cut to ``under``. The normalised sentence is looked up in the
 table of known licence sentences and becomes its identifier. A rule is an
 ordered list of identifiers; it applies where the identifiers of one cut hold
-it as a subsequence. The licences of all rules that apply are reported.
+it as a subsequence; ``FOLDS`` are identifiers in a row that count as one. The
+licences of all rules that apply are reported.
+
+``sql`` has the first two cuts and the sentences and rules of ``TEXTS`` and
+``NAMES`` only; the scan also has the third cut, ``NOTICES``, ``FOLDS`` and
+``NOTICE_RULES``. They are equal where a text holds none of those.
 
 Only texts with one of the ``ANCHORS`` are cut; every known sentence has one, so
 the others have no known sentence. Nothing is shuffled and no row is dropped.
@@ -68,7 +75,48 @@ TEXT_RULES = {
     "ISC": ["isc-grant"],
     "Unlicense": ["public-domain"],
 }
-ANCHORS = ["licens", "licenc", "copyright", "rights reserved", "permission", "redistribution", "obtain a copy", "public domain", "software is provided", " under "]
+ANCHORS = ["licens", "licenc", "copyright", "rights reserved", "permission", "redistribution", "obtain a copy", "public domain", "software is provided", " under ", "advertising materials"]
+
+# Fixed values of the scan only: sentences of notices, identifiers in a row that are one, rules.
+GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License", "LGPL-2": "GNU Library General Public License"}
+VERSIONS = {"GPL-2.0": ("GPL", "2"), "GPL-3.0": ("GPL", "3"), "LGPL-2.0": ("LGPL-2", "2"), "LGPL-2.1": ("LGPL", "2.1"), "LGPL-3.0": ("LGPL", "3"), "AGPL-3.0": ("AGPL", "3")}
+LATER = ["either version {} of the License, or (at your option) any later version.", "version {} of the License.", "version {}."]
+NOTICES = {
+    "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-name",
+    "Neither the name of the holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-name",
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement:": "bsd-advert",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v2.0.": "ref-MPL-2.0",
+    "Mozilla Public License Version 2.0": "ref-MPL-2.0",
+    "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/": "ref-Apache-2.0",
+    "GNU GENERAL PUBLIC LICENSE Version 2, June 1991": "ref-GPL-2.0",
+    "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": "ref-GPL-3.0",
+    "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991": "ref-LGPL-2.0",
+    "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999": "ref-LGPL-2.1",
+    "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007": "ref-LGPL-3.0",
+    "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007": "ref-AGPL-3.0",
+}
+FOLDS = [(["bsd-binary", "bsd-advert", "bsd-name"], "bsd-4"), (["bsd-binary", "bsd-advert"], "bsd-4"), (["bsd-binary", "bsd-name"], "bsd-3")]
+FOLDS += [([f"terms-{gnu}", f"version-{v}"], f"ref-{spdx}") for spdx, (gnu, v) in VERSIONS.items()]
+NOTICE_RULES = [("LGPL-2.0", ["ref-LGPL-2.0"]), ("LGPL-2.1", ["ref-LGPL-2.1"]), ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-3"]), ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-4"])]
+#: The named holders of a clause, and the same in the form of ``NOTICES``.
+HOLDERS = r"neither the names? of [^\n]{1,200}?nor (?:the names? of )?[^\n]{1,100}?may be used to endorse or promote products derived from this software without specific,? prior written permission"
+ONE_HOLDER = "neither the name of the holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+#: Patterns and replacements that make the third cut, in order, over text in lower case.
+PARAGRAPHS = [
+    (r"\r\n?", "\n"),
+    (r"(?m)^[ \t]*(?:/\*+|\*+/?|//+!?|#+|;+|--+|%+|>+|(?:dnl|rem)(?=[ \t]|$))[ \t]*", ""),
+    (r"[^a-z0-9]*\bat:?[^a-z0-9]*https?://(?:www\.)?apache\.org/licenses/license-2\.0(?:\.txt|\.html)?[^\sa-z0-9]*", " at http://www.apache.org/licenses/license-2.0\n\n"),
+    (r"\n(?:[^a-z0-9\n]*\n)+", "\n\n"),
+    (r"(?m)^([^a-z0-9\n]*(?:(?:\(c\)|©)[ \t]*)?copyright[ \t]*(?:\(c\)|©|[:,]?[ \t]*[\[<{(]?(?:[0-9]{4}|yyyy|year)|the [^\n]*authors)[^\n]*)$", "\n$1\n"),
+    (r"(?:\A|\n\n)([^a-z0-9\n]*(?:copyright [^\n]*|(?:the )?(?:mit|isc|(?:new |modified |simplified )?bsd|bsd [234]-clause) licen[sc]e(?: \([a-z0-9 -]+\))?[^a-z0-9\n]*))(?=\n)", "\n\n$1\n"),
+    (r"(?m)^[^a-z0-9\n]*(?:\([0-9a-d]\)|[0-9a-d][.)])[ \t]+", "\n"),
+    (r"[ \t]*(?<!\n)\n(?!\n)[ \t]*", " "),
+    (r"[ \t]+", " "),
+    (r"\((?:hereinafter )?(?:the )?[\"'“”‘’]*licen[sc]e[\"'“”‘’]*\)|[(<]+https?://[^\s()<>]*[)>]+", ""),
+    (r"\bv\. ?(?=[0-9])", "v"),
+    (r"(free software foundation), (?=either version|version)", "$1; "),
+    (HOLDERS, ONE_HOLDER),
+]
 
 
 def normal(sentence: str) -> str:
@@ -86,6 +134,15 @@ def sentences() -> dict[str, str]:
     return known
 
 
+def notices() -> dict[str, str]:
+    """Normalised sentence -> identifier, of those that the scan has besides ``sentences``."""
+    known = {normal(t): k for t, k in NOTICES.items()}
+    for gnu, name in GNU.items():
+        known |= {normal(f"{you} redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation"): f"terms-{gnu}" for you in ("you can", "you may")}
+    known |= {normal(text.format(v)): f"version-{v}" for _, v in VERSIONS.values() for text in LATER}
+    return known
+
+
 def rules() -> list[tuple[str, list[str]]]:
     """(licence, ordered identifiers)."""
     return [(k, [f"ref-{k}"]) for k in NAMES] + list(TEXT_RULES.items())
@@ -106,22 +163,37 @@ def _identifiers(text: Column, known: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_sentences (recognised line by line), licenses (sorted, joined by a comma)."""
-    known = F.create_map(*[F.lit(x) for kv in sentences().items() for x in kv])
+    known = F.create_map(*[F.lit(x) for kv in (notices() | sentences()).items() for x in kv])
     raw = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     has = F.lit(False)
     for a in ANCHORS:
         has = has | F.contains("text", F.lit(a))
-    ids = lambda t: F.when(has, _identifiers(t, known)).otherwise("")
-    cut = raw.select("id", ids(F.col("text")).alias("lines"), ids(F.regexp_replace("text", r"[ \t\r]*\n[ \t\r]*", " ")).alias("joined"))
-    found = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("rule")) for name, pattern in _patterns()])
-    matched = F.transform(F.filter(found, lambda r: F.call_function("like", F.col("lines"), r.rule) | F.call_function("like", F.col("joined"), r.rule)), lambda r: r["name"])
+    ids = lambda t: F.when(has, _identifiers(F.regexp_replace(t, HOLDERS, ONE_HOLDER), known)).otherwise("")
+    cut = raw.select("id", ids(F.col("text")).alias("lines"), ids(F.regexp_replace("text", r"[ \t\r]*\n[ \t\r]*", " ")).alias("joined"), ids(_paragraphs(F.col("text"))).alias("paragraphs"))
     size = F.length("lines") - F.length(F.replace("lines", F.lit(";"), F.lit("")))
-    return cut.select(F.col("id").alias(id_col), size.cast("long").alias("n_sentences"), F.array_join(F.array_sort(F.array_distinct(matched)), ",").alias("licenses"))
+    cut = cut.select("id", size.cast("long").alias("n"), *[_folded(F.col(c)).alias(c) for c in ("lines", "joined", "paragraphs")])
+    found = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("rule")) for name, pattern in _patterns(rules() + NOTICE_RULES)])
+    like = lambda r: F.call_function("like", F.col("lines"), r.rule) | F.call_function("like", F.col("joined"), r.rule) | F.call_function("like", F.col("paragraphs"), r.rule)
+    matched = F.transform(F.filter(found, like), lambda r: r["name"])
+    return cut.select(F.col("id").alias(id_col), F.col("n").alias("n_sentences"), F.array_join(F.array_sort(F.array_distinct(matched)), ",").alias("licenses"))
+
+
+def _paragraphs(text: Column) -> Column:
+    """The third cut's text: a sentence a line, wrapped lines joined."""
+    for pattern, new in PARAGRAPHS:
+        text = F.regexp_replace(text, pattern, new)
+    return text
+
+
+def _folded(ids: Column) -> Column:
+    for row, one in FOLDS:
+        ids = F.replace(ids, F.lit("".join(f",{i};" for i in row)), F.lit(f",{one};"))
+    return ids
 
 
-def _patterns() -> list[tuple[str, str]]:
+def _patterns(of: list[tuple[str, list[str]]] | None = None) -> list[tuple[str, str]]:
     """(licence, LIKE pattern over ``,id;,id;`` that holds its identifiers in order)."""
-    return [(name, "%" + "%".join(f",{i};" for i in ids) + "%") for name, ids in rules()]
+    return [(name, "%" + "%".join(f",{i};" for i in ids) + "%") for name, ids in of or rules()]
 
 
 def sql() -> str:

@@ -148,3 +148,74 @@ def test_recount(docs, odd, bpe_path):
     kept = token_counts.trees(odd, bpe_path).selectExpr("*", "array(named_struct('at', 2, 'removed', 1, 'inserted', 'new')) AS edits")
     for r in token_counts.updated(kept, bpe_path, "edits").collect():
         assert r.n_tokens == n("".join(r.segments)) == sum(r.tokens)
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+APACHE = """   Copyright 2020 Jane Doe
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+"""
+BSD = """Copyright 2020 Google Inc.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+"""
+BSD_NAME = """   * Neither the name of Google Inc. nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+"""
+GNU = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU {} as published by
+    the Free Software Foundation, either version {} of the License, or
+    (at your option) any later version.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_wrapped_licence_texts(spark):
+    gpl = [GNU.format(n, v) for n, v in (("General Public License", 3), ("Lesser General Public License", 2.1), ("Affero General Public License", 3))]
+    comment = "".join(f" * {line}".rstrip() + "\n" for line in APACHE.splitlines())
+    old = gpl[0].replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+    # The MPL 1.1's header shares Apache's sentences but for the place of the copy.
+    mpl1 = APACHE.replace("Apache License, Version 2.0", "Mozilla Public License Version 1.1").replace("www.apache.org/licenses/LICENSE-2.0", "www.mozilla.org/MPL/")
+    texts = [MIT, MIT.split("\n\n", 1)[1], MIT.split("\n\n", 1)[1].replace("Doe\n\n", "Doe\n"), APACHE, comment, BSD, BSD + BSD_NAME, *gpl, old, MPL, mpl1, gpl[0] + gpl[1].replace("2.1", "3")]
+    want = ["MIT", "MIT", "MIT", "Apache-2.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", "GPL-2.0", "MPL-2.0", "", "GPL-3.0,LGPL-3.0"]
+    # With both BSD texts, both are there.
+    texts, want = [*texts, BSD + "\n" + BSD + BSD_NAME], [*want, "BSD-2-Clause,BSD-3-Clause"]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert all(any(a.strip() in s for a in licenses.ANCHORS) for s in licenses.notices() if not s.startswith("version "))
