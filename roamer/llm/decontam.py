@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes a sequence of words without their outer punctuation, in lower
-case (A-Z). Numbers, names and units are slots: they are replaced with a
+case. Numbers, names and units are slots: they are replaced with a
 placeholder of their type. Windows of five template words of the documents are
 hash-joined with those of the benchmark items. Windows that lie on the same
 diagonal of a document and an item are aligned; their slots must be
@@ -10,8 +10,14 @@ document and the other way round. A document is contaminated by an item when
 consistent windows cover 80 % of the item's windows or more. This finds exact
 passages and re-parameterised ones, whose numbers, names or units were changed.
 
+Windows are joined in three forms: with names as slots, with names as plain
+words (so that letter case doesn't count), and, where those don't cover an item,
+with every run of name words as one slot, so that a name may become longer or
+shorter. A window counts if it meets in the first or the second form.
+
 * number: digits with inner ``. , : / -``; unit: a word of ``UNITS``;
-* name: a capitalised word that doesn't begin a sentence or line;
+* name: a capitalised word that doesn't begin a sentence; line breaks don't count.
+  A run of names ends at punctuation;
 * a window of slots only is compared by its words instead;
 * an item of fewer than five words is one window.
 
@@ -30,6 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,26 +75,37 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, slot types, bounds of the texts among the words)."""
+def _trimmed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words with a letter or digit: start and end from its first to its last one, and with the punctuation around."""
     starts, ends = words(data, offsets)
-    raw_start, raw_end = starts, ends
     inside = np.concatenate([[0], np.cumsum(_ALNUM[data])])
     some = inside[ends] > inside[starts]
-    starts, ends, raw_start, raw_end = starts[some], ends[some], raw_start[some], raw_end[some]
+    raw_start, raw_end = starts[some], ends[some]
     places = np.flatnonzero(_ALNUM[data])
-    if len(starts):  # trim to the first and the last letter or digit
-        starts = places[np.searchsorted(places, starts)]
-        ends = places[np.searchsorted(places, ends) - 1] + 1
-    hashes = word_hashes(data, starts, ends)
+    if not len(raw_start):
+        return raw_start, raw_end, raw_start, raw_end
+    return places[np.searchsorted(places, raw_start)], places[np.searchsorted(places, raw_end) - 1] + 1, raw_start, raw_end
+
+
+def _lower_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The hashes of the words in lower case of all alphabets."""
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    low = pc.utf8_lower(texts)
+    there = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
+    lowered = np.frombuffer(low.buffers()[2] or b"", np.uint8)
+    return word_hashes(lowered, *_trimmed(lowered, there)[:2])
+
+
+def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, slot types, bounds of the texts among the words, whether a word is a name that goes on the name before)."""
+    starts, ends, raw_start, raw_end = _trimmed(data, offsets)
+    hashes = _lower_hashes(data, offsets) if (data >= 128).any() else word_hashes(data, starts, ends)
     bounds = np.searchsorted(starts, offsets)
-    kind = np.zeros(len(starts), np.int8)
+    kind, goes_on = np.zeros(len(starts), np.int8), np.zeros(len(starts), bool)
     if not len(starts):
-        return hashes, kind, bounds
+        return hashes, kind, bounds, goes_on
     first = np.ones(len(starts), bool)
     first[1:] = _ENDS[data[raw_end[:-1] - 1]]
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
-    first[1:] |= lines[raw_start[1:]] > lines[raw_start[:-1]]
     first[bounds[:-1][bounds[:-1] < len(starts)]] = True
     a, b = data[starts], data[np.minimum(starts + 1, len(data) - 1)]
     longer = ends - starts > 1
@@ -96,7 +114,24 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     kind[np.isin(hashes, _UNITS)] = UNIT
     digits, others = np.concatenate([[0], np.cumsum(_DIGIT[data])]), np.concatenate([[0], np.cumsum(_OTHER[data])])
     kind[(digits[ends] > digits[starts]) & (others[ends] == others[starts])] = NUMBER
-    return hashes, kind, bounds
+    goes_on[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & (raw_end[:-1] == ends[:-1]) & (raw_start[1:] == starts[1:])
+    goes_on[bounds[:-1][bounds[:-1] < len(starts)]] = False
+    return hashes, kind, bounds, goes_on
+
+
+def nameless(kind: np.ndarray) -> np.ndarray:
+    """The slot types with names as plain words."""
+    return np.where(kind == NAME, 0, kind).astype(np.int8)
+
+
+def runs(hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, slot types, bounds) with each run of name words as one."""
+    heads = np.flatnonzero(~goes_on)
+    if len(heads) == len(hashes):
+        return hashes, kind, bounds
+    place = np.arange(len(hashes)) - heads[np.cumsum(~goes_on) - 1]
+    power = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(int(place.max()), 0x9E3779B97F4A7C15, U64)]))
+    return np.add.reduceat(hashes * power[place], heads), kind[heads], np.searchsorted(heads, bounds)
 
 
 def windows(hashes: np.ndarray, kind: np.ndarray, k: int = WINDOW) -> np.ndarray:
@@ -114,36 +149,73 @@ class Items:
     """The windows of a block of benchmark items."""
 
     def __init__(self, ids: list, texts: pa.Array, k: int = WINDOW, cover: int = COVER) -> None:
-        self.ids, self.k, self.cover = ids, k, cover
-        self.hashes, self.kind, self.windows = [], [], []
+        self.ids = ids
+        forms, folds, owners = [], [], []
         for _, data, offsets in blocks(texts):
-            h, t, bounds = template(data, offsets)
+            h, t, bounds, goes_on = template(data, offsets)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                self.hashes.append(h[a:b])
-                self.kind.append(t[a:b])
-                self.windows.append(windows(h[a:b], t[a:b], min(k, b - a)) if b > a else np.empty(0, U64))
+                forms.append((h[a:b], t[a:b]))
+                if (t[a:b] != NAME).all():
+                    continue
+                fold = lambda kind, on, a=a, b=b: runs(h[a:b], kind, np.array([0, b - a]), on)[:2]
+                both = [fold(t[a:b], goes_on[a:b])]
+                if b - a > 1 and t[a] == 0 and t[a + 1] == NAME:  # in mid-sentence, the first word may go on to the name
+                    both.append(fold(np.concatenate([[NAME], t[a + 1 : b]]).astype(np.int8), np.concatenate([[False, True], goes_on[a + 2 : b]])))
+                long = [f for f in both if len(f[0]) >= k]
+                folds += long
+                owners += [len(forms) - 1] * len(long)
+        self.words = Forms(forms, k, cover)
+        self.names, self.owners = Forms(folds, k, cover), owners
+
+    def matches(self, hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray, goes_on: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
+        """(text, item, covered windows, all windows, whether a slot differs) for each contaminated pair."""
+        found = {(d, i): rest for d, i, *rest in self.words.matches(hashes, kind, bounds)}
+        if self.owners:
+            for d, f, *rest in self.names.matches(*runs(hashes, kind, bounds, goes_on)):
+                found.setdefault((d, self.owners[f]), rest)
+        for (d, i), rest in sorted(found.items()):
+            yield d, i, *rest
+
+
+class Forms:
+    """Sequences of words and slots by their windows."""
+
+    def __init__(self, forms: list[tuple[np.ndarray, np.ndarray]], k: int, cover: int) -> None:
+        self.k, self.cover = k, cover
+        self.hashes, self.kind = [h for h, _ in forms], [t for _, t in forms]
+        size = lambda h: min(k, len(h))
+        self.windows = [windows(h, t, size(h)) if len(h) else np.empty(0, U64) for h, t in forms]
+        plain = [windows(h, nameless(t), size(h)) if len(h) else np.empty(0, U64) for h, t in forms]
+        differ = [np.flatnonzero(a != b) for a, b in zip(self.windows, plain, strict=True)]
         # A document may hold an item in mid-sentence, where its first word, if capitalised, is a name.
-        begins = [windows(h[:k], np.concatenate([[NAME], t[1:k]]).astype(np.int8), min(k, len(h))) for h, t in zip(self.hashes, self.kind, strict=True) if len(h)]
+        begins = [windows(h[:k], np.concatenate([[NAME], t[1:k]]).astype(np.int8), size(h)) for h, t in forms if len(h)]
         some = [i for i, h in enumerate(self.hashes) if len(h)]
-        values = np.concatenate([np.empty(0, U64), *self.windows, *begins])
+        values = np.concatenate([np.empty(0, U64), *self.windows, *[p[x] for p, x in zip(plain, differ, strict=True)], *begins])
         order = np.argsort(values, kind="stable")
         self.values = values[order]
-        self.item = np.concatenate([np.repeat(np.arange(len(self.windows)), [len(w) for w in self.windows]), np.array(some, np.int64)])[order]
-        self.place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(w)) for w in self.windows), np.zeros(len(some), np.int64)])[order]
-        self.lengths = sorted({min(k, len(h)) for h in self.hashes if len(h)})
+        each = np.arange(len(forms))
+        self.item = np.concatenate([np.repeat(each, [len(w) for w in self.windows]), np.repeat(each, [len(x) for x in differ]), np.array(some, np.int64)]).astype(np.int64)[order]
+        self.place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(w)) for w in self.windows), *differ, np.zeros(len(some), np.int64)])[order]
+        self.lengths = sorted({size(h) for h in self.hashes if len(h)})
 
-    def matches(self, hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, bool]]:
-        """(text, item, covered windows, whether a slot differs) for each contaminated pair."""
+    def matches(self, hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
+        """(text, form, covered windows, all windows, whether a slot differs) for each contaminated pair."""
         met: dict[tuple[int, int], set[tuple[int, int]]] = {}
+        named = bool((kind == NAME).any())
         for k in self.lengths:
-            own = windows(hashes, kind, k)
-            if not len(own) or not len(self.values):
+            typed = windows(hashes, kind, k)
+            if not len(typed) or not len(self.values):
                 continue
+            own, at = typed, np.arange(len(typed))
+            if named:
+                plain = windows(hashes, nameless(kind), k)
+                other = np.flatnonzero(plain != typed)
+                own, at = np.concatenate([typed, plain[other]]), np.concatenate([at, other])
             left = np.searchsorted(self.values, own)
             hit = np.flatnonzero(self.values[np.minimum(left, len(self.values) - 1)] == own)
-            doc = np.searchsorted(bounds, hit, "right") - 1
+            doc = np.searchsorted(bounds, at[hit], "right") - 1
             right = np.searchsorted(self.values, own[hit], "right")
-            for p, d, a, b in zip(hit.tolist(), doc.tolist(), left[hit].tolist(), right.tolist(), strict=True):
+            for p, d, a, b in zip(at[hit].tolist(), doc.tolist(), left[hit].tolist(), right.tolist(), strict=True):
                 if p + k > bounds[d + 1]:
                     continue
                 for x in range(a, b):
@@ -156,7 +228,7 @@ class Items:
                 continue
             covered, changed = self._consistent(hashes, kind, i, pairs)
             if 100 * covered >= self.cover * total:
-                yield d, i, covered, changed
+                yield d, i, covered, total, changed
 
     def _consistent(self, hashes: np.ndarray, kind: np.ndarray, i: int, pairs: set[tuple[int, int]]) -> tuple[int, bool]:
         """The most item windows that one occurrence covers consistently, and whether its slots differ from the item's.
@@ -177,7 +249,7 @@ class Items:
             covered, changed = set(), False
             for g in [lead] + [g for g in by_size if g != lead and abs(g - lead) <= span]:
                 for q in sorted(diagonals[g]):
-                    slots = [(int(kind[g + r]), int(self.hashes[i][r]), int(hashes[g + r])) for r in range(q, q + k) if kind[g + r]]
+                    slots = [(int(t), int(self.hashes[i][r]), int(hashes[g + r])) for r in range(q, q + k) if (t := kind[g + r] or self.kind[i][r])]
                     if all(there.get((t, u), v) == v and back.get((t, v), u) == u for t, u, v in slots):
                         for t, u, v in slots:
                             there[t, u], back[t, v] = v, u
@@ -205,15 +277,14 @@ def _pairs(ids: list, texts: pa.Array) -> Callable:
         for batch in batches:
             out = []
             for first, data, offsets in blocks(batch.column(1)):
-                h, t, bounds = template(data, offsets)
-                out += [(first + d, i, n, c) for d, i, n, c in items.matches(h, t, bounds)]
+                out += [(first + d, *rest) for d, *rest in items.matches(*template(data, offsets))]
             yield pa.record_batch(
                 [
                     batch.column(0).take(pa.array([x[0] for x in out], pa.int64())),
                     pa.array([items.ids[x[1]] for x in out], pa.int64()),
                     pa.array([x[2] for x in out], pa.int64()),
-                    pa.array([len(items.windows[x[1]]) for x in out], pa.int64()),
-                    pa.array([x[3] for x in out], pa.bool_()),
+                    pa.array([x[3] for x in out], pa.int64()),
+                    pa.array([x[4] for x in out], pa.bool_()),
                 ],
                 names=["id", "item_id", "n_matched", "n_windows", "reparameterised"],
             )
@@ -241,8 +312,7 @@ def _kept(ids: list, texts: pa.Array) -> Callable:
         for batch in batches:
             keep = np.ones(len(batch), bool)
             for first, data, offsets in blocks(batch.column(1)):
-                h, t, bounds = template(data, offsets)
-                keep[[first + d for d, *_ in items.matches(h, t, bounds)]] = False
+                keep[[first + d for d, *_ in items.matches(*template(data, offsets))]] = False
             yield pa.record_batch([batch.column(0).filter(pa.array(keep))], names=["row"])
 
     return run

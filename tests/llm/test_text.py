@@ -219,3 +219,15 @@ def test_wrapped_licence_texts(spark):
     got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert all(any(a.strip() in s for a in licenses.ANCHORS) for s in licenses.notices() if not s.startswith("version "))
+
+
+def test_case_line_breaks_and_longer_names(spark):
+    question = "Natalia sold clips to 48 of her friends in April, and then Natalia sold half as many clips to Tom and Zoé in May. How many clips did Natalia sell to Tom altogether in April and May?"
+    items = spark.createDataFrame([(1, question)], "item_id long, text string")
+    words = question.split()
+    wrapped = "\n".join(" ".join(words[i : i + 4]) for i in range(0, len(words), 4))
+    other = question.replace("Tom", "Mary Ann").replace("48", "50")
+    texts = [question, question.lower(), question.upper(), wrapped, question.lower().replace("48", "96"), other, "Well, " + question, question.replace("clips", "books").replace("April", "autumn")]
+    got = {r.doc_id: (r.n_matched == r.n_windows, r.reparameterised) for r in decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect()}
+    assert {d: c for d, (_, c) in got.items()} == {0: False, 1: False, 2: False, 3: False, 4: True, 5: True, 6: False}
+    assert all(got[d][0] for d in (0, 1, 2, 3))
