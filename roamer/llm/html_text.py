@@ -1,21 +1,24 @@
 """Main text of web pages, with site template removal.
 
-1. Every page is parsed, and each container element (``CONTAINERS``) below the
-   page's frame is hashed with its whole subtree: tags and text.
+1. Every page is parsed, and each block element below the page's frame, and each
+   inline element that stands alone in a container, is hashed with its whole
+   subtree: tags and text. Rows, cells and captions count with their table or
+   list only (``PARTS``).
 2. Spark counts, per host, the distinct pages that hold a subtree. One that is
-   on ``PAGES`` distinct pages and ``SHARE`` percent of the host's pages or more
-   is template. Pages with equal html count once, so copies of a page make no
+   on ``PAGES`` distinct pages or more is template, however large the host. Pages with equal html count once, so copies of a page make no
    template; counts are aggregated before the shuffle, so a host may hold any
    share of all pages.
-3. The page is parsed again and its text is taken without template subtrees.
+3. A page that shows template is parsed again with the hashes of that; its text
+   is taken without them.
 
 Text comes from the article: the outermost ``article`` elements, else ``main``,
-else an element named as content, else the body. What a template can hold is
-removed outside that region; inside it recurring containers go only if they
-hold no paragraph or heading of prose, so an article's own passages stay however
+else an element named as content, else the body. Template goes there, prose or
+not; only in an ``article`` element nothing but recurring containers without a
+paragraph or heading of prose goes, so an article's own passages stay however
 often they recur. Elements that are never an article's text (``DROPPED``) and
 elements named as menus, sidebars, notices, adverts, forms or comments
-(``NAMED``) always go.
+(``NAMED``) always go; in an ``article`` element, the id of a section of prose
+isn't such a name (``id="related-work"``).
 
 Block elements end a block; inside a block white space becomes one space and
 the ends are trimmed; blocks are joined by a line feed. Character references
@@ -40,15 +43,15 @@ from pyspark.sql import functions as F
 
 from roamer.llm.store import short_batches, written
 
-#: Distinct pages, and percent of the host's distinct pages, from which on a subtree is template.
+#: Distinct pages of a host from which on a subtree is template.
 PAGES = 5
-SHARE = 10
 
 # Element names and words of class, id and role attributes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = set("head title script style noscript template iframe object embed svg canvas math nav header footer aside form button select option textarea input label fieldset dialog menu audio video map".split())
 CONTAINERS = set("div section nav header footer aside ul ol dl table form menu details figure center main".split())
 BLOCKS = CONTAINERS | set("html body article p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre address figcaption hr hgroup search summary legend".split())
+PARTS = set("html body td th tr thead tbody tfoot dt dd caption figcaption legend summary hr".split())
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CLOSES_P = BLOCKS - {"td", "th", "tr", "li", "dt", "dd", "thead", "tbody", "tfoot", "caption", "body", "html"}
 NAMED = set(
@@ -165,7 +168,11 @@ def _names(said: dict[str, str]) -> set[str]:
     return {w.lower() for w in _WORD.findall(text)}
 
 
-def unwanted(node: Node) -> bool:
+def _holds_prose(node: Node) -> bool:
+    return any(x.tag in PROSE for x in _every(node))
+
+
+def unwanted(node: Node, in_article: bool = False) -> bool:
     if node.tag in DROPPED:
         return True
     if not node.said:
@@ -173,7 +180,9 @@ def unwanted(node: Node) -> bool:
     said = node.attributes()
     if said.get("role", "").lower() in ROLES or "hidden" in said or said.get("aria-hidden") == "true":
         return True
-    return node.tag not in ("html", "body", "main") and node.tag not in PROSE and bool(_names(said) & NAMED)
+    if node.tag in ("html", "body", "main") or node.tag in PROSE or not _names(said) & NAMED:
+        return False
+    return not (in_article and node.tag in ("section", "div") and not _names({"class": said.get("class", "")}) & NAMED and _holds_prose(node))
 
 
 def _outermost(root: Node, wanted: Callable[[Node], bool]) -> list[Node]:
@@ -197,23 +206,53 @@ def regions(root: Node) -> list[Node]:
     return []
 
 
-def subtrees(html: str | None) -> dict[int, list[int]]:
-    """Hashes of a page's containers that hold anything, with their numbers in page order."""
+def candidates(root: Node, where: list[Node]) -> Iterator[Node]:
+    """The elements that can be template and hold anything."""
+    frame = set(map(id, where))
+    alone: set[int] = set()
+    for x in _every(root):
+        if (x.tag in CONTAINERS or x.tag in ("", "html", "body", "article", "li")) and not any(isinstance(c, str) and c.strip() for c in x.children):
+            alone.update(id(c) for c in x.children if isinstance(c, Node))
+        counts = x.tag not in PARTS if x.tag in BLOCKS else id(x) in alone and x.tag not in DROPPED
+        if counts and x.children and id(x) not in frame:
+            yield x
+
+
+def removable(node: Node, in_article: bool) -> bool:
+    """Whether a region gives this element up if it is template."""
+    return not in_article or (node.tag in CONTAINERS and not _holds_prose(node))
+
+
+def subtrees(html: str | None) -> dict[int, bool]:
+    """Hashes of a page's elements that can be template, with whether the page's text would lose one."""
     root = parsed(html)
     hashed(root)
-    frame = set(map(id, regions(root)))
-    found: dict[int, list[int]] = {}
-    for i, x in enumerate(_every(root)):
-        if x.tag in CONTAINERS and x.children and id(x) not in frame:
-            found.setdefault(_signed(x.key), []).append(i)
+    where = regions(root)
+    shown: set[int] = set()
+    for top in where or [root]:
+        stack, in_article = [top], top.tag == "article"
+        while stack:
+            x = stack.pop()
+            if x is not top and unwanted(x, in_article):
+                continue
+            if removable(x, in_article):
+                shown.add(id(x))
+            stack += [c for c in x.children if isinstance(c, Node)]
+    found: dict[int, bool] = {}
+    for x in candidates(root, where):
+        key = _signed(x.key)
+        found[key] = found.get(key, False) or id(x) in shown
     return found
 
 
 def main_text(html: str | None, template: set[int]) -> str:
-    """The main text of a page without the elements of these numbers in page order."""
+    """The main text of a page without the elements of these hashes."""
     root = parsed(html)
-    gone = {id(x) for i, x in enumerate(_every(root)) if i in template} if template else set()
     where = regions(root)
+    gone: set[int] = set()
+    if template:
+        hashed(root)
+        gone = {id(x) for x in candidates(root, where) if _signed(x.key) in template}
     blocks: list[str] = []
     line: list[str] = []
 
@@ -222,11 +261,9 @@ def main_text(html: str | None, template: set[int]) -> str:
             blocks.append(" ".join(words))
         line.clear()
 
-    def is_template(node: Node, inside: bool) -> bool:
-        return id(node) in gone and not (inside and any(x.tag in PROSE for x in _every(node)))
-
     for top in where or [root]:
         stack: list[Node | str | None] = [top]
+        in_article = top.tag == "article"
         while stack:
             x = stack.pop()
             if x is None:
@@ -235,7 +272,7 @@ def main_text(html: str | None, template: set[int]) -> str:
                 line.append(x)
             elif x.tag == "br":
                 line.append(" ")
-            elif x is top or not (unwanted(x) or is_template(x, bool(where))):
+            elif x is top or not (unwanted(x, in_article) or (id(x) in gone and removable(x, in_article))):
                 if x.tag in BLOCKS:
                     end()
                     stack.append(None)
@@ -251,23 +288,22 @@ def host(url: Column) -> Column:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, keys, places = [], [], []
+        rows, keys, shown = [], [], []
         for i, html in enumerate(batch.column(1)):
             found = subtrees(html.as_py())
             rows += [i] * len(found)
             keys += found
-            places += found.values()
-        yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["page", "key", "places"])
+            shown += found.values()
+        yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(shown, pa.bool_())], names=["page", "key", "shown"])
 
 
 def templates(pages: DataFrame, url_col: str, html_col: str) -> tuple[DataFrame, DataFrame]:
-    """((page hash, host, key, places) of all containers, (host, key) of those that are template)."""
+    """((host, html_hash, key, shown) of all that can be template, (host, key) of those that are)."""
     one = pages.select(host(F.col(url_col)).alias("host"), F.xxhash64(F.coalesce(html_col, F.lit(""))).alias("html_hash"), F.coalesce(html_col, F.lit("")).alias("html"))
-    rows = one.select(F.struct("host", "html_hash").alias("page"), "html").mapInArrow(_hashes, "page struct<host: string, html_hash: long>, key long, places array<int>")
-    held = written(rows.select("page.*", "key", "places").dropDuplicates(["host", "html_hash", "key"]), "html-subtrees")
-    total = held.select("host", "html_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    counts = held.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
-    return held, written(counts.join(total, "host").where(F.col("n") * 100 >= F.col("all") * SHARE).select("host", "key"), "html-templates")
+    rows = one.select(F.struct("host", "html_hash").alias("page"), "html").mapInArrow(_hashes, "page struct<host: string, html_hash: long>, key long, shown boolean")
+    held = written(rows.select("page.*", "key", "shown").distinct(), "html-subtrees")
+    counts = held.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.max("shown").alias("shown")).where((F.col("n") >= PAGES) & F.col("shown"))
+    return held, written(counts.select("host", "key"), "html-templates")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,9 +316,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of ``pages``: id, url, text, n_chars."""
     short_batches(pages.sparkSession)
     held, template = templates(pages, url_col, html_col)
-    own = held.join(template, ["host", "key"]).groupBy("host", "html_hash").agg(F.flatten(F.collect_list("places")).alias("places"))
-    own = written(own.select(F.col("host").alias("t_host"), F.col("html_hash").alias("t_hash"), "places"), "html-found")
+    own = held.where("shown").join(template, ["host", "key"]).groupBy("host", "html_hash").agg(F.collect_list("key").alias("keys"))
+    own = written(own.select(F.col("host").alias("t_host"), F.col("html_hash").alias("t_hash"), "keys"), "html-found")
     one = pages.select(F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url")).alias("row"), host(F.col(url_col)).alias("host"), F.xxhash64(F.coalesce(html_col, F.lit(""))).alias("html_hash"), F.coalesce(html_col, F.lit("")).alias("html"))
-    ready = one.join(own, (F.col("host") == F.col("t_host")) & (F.col("html_hash") == F.col("t_hash")), "left").select("row", "html", "places")
+    ready = one.join(own, (F.col("host") == F.col("t_host")) & (F.col("html_hash") == F.col("t_hash")), "left").select("row", "html", "keys")
     out = ready.mapInArrow(_texts, f"row {ready.schema['row'].dataType.simpleString()}, text string")
     return out.select(F.col("row.id").alias(id_col), F.col("row.url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

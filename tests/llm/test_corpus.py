@@ -182,3 +182,24 @@ def test_pipeline(spark, sf, docs):
     out = corpus_pipeline.run(spark, sf)
     got = {r.doc_id: r for r in out.collect()}
     assert set(got) == left and all(got[d].decoded_sha256 == hashlib.sha256(whole[d].encode()).hexdigest() and len(got[d].ids) == got[d].n_tokens for d in left)
+
+
+def test_templates_of_any_kind_and_share_go(spark):
+    def main(i):
+        return f'<body><main><div class="x1"><p>Site notice</p></div><p>Own text {i}.</p></main></body>'
+
+    def bare(i):
+        return f'<body><p>Welcome to us</p><a>Top</a><span>Menu</span><p>Own text {i} with an <a>Top</a> in it.</p><table><tr><td>Red</td><td>{i}</td></tr></table><ul><li>Login<li>Item {i}</ul></body>'
+
+    def rare(i):  # five of two hundred pages of a host
+        return f"<body><p>Own text {i}.</p>" + ("<div>Section links</div>" if i < 5 else "") + "</body>"
+
+    def article(i):
+        return f'<body><article><p>A passage that recurs</p><section id="related-work"><h2>Related work</h2><p>Own text {i}.</p></section><ul><li>Salt<li>Item {i}</ul></article></body>'
+
+    rows = [(n * 1000 + i, f"http://h{n}/{i}", f(i)) for n, (f, size) in enumerate(((main, 8), (bare, 8), (rare, 200), (article, 8))) for i in range(size)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Own text 3."
+    assert got[1003] == "Own text 3 with an Top in it.\nRed\n3\nItem 3"
+    assert got[2003] == "Own text 3."
+    assert got[3003] == "A passage that recurs\nRelated work\nOwn text 3.\nSalt\nItem 3"
