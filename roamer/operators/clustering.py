@@ -122,12 +122,12 @@ def medoid(x: np.ndarray) -> int:
     return int(np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)).sum(axis=1).round(6).argmin())
 
 
-def tosca(x: np.ndarray, least: float, rng: np.random.Generator, kmax: int = 64) -> list[int]:
-    """Indices of the medoids: X-means, medoids, single linkage of those, a cut at the first outlying jump, medoids."""
+def tosca(x: np.ndarray, least: float, rng: np.random.Generator, kmin: int = 1, kmax: int | None = None) -> list[int]:
+    """Indices of the medoids: X-means of kmin to kmax (None: any number of) clusters, medoids, single linkage of those, a cut at the first outlying jump, medoids."""
     if len(x) == 1:
         return [0]
     kinds = len(np.unique(x.round(3), axis=0))
-    _, label = xmeans(x, 1, min(kmax, kinds), rng)
+    _, label = xmeans(x, min(kmin, kinds), kinds if kmax is None else min(kmax, kinds), rng)
     first = [int(np.flatnonzero(label == j)[medoid(x[label == j])]) for j in np.unique(label)]
     if len(first) == 1:
         return first

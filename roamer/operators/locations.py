@@ -63,6 +63,12 @@ def radius(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.join(centre, keys).groupBy(*keys).agg(F.avg(spherical_distance(F.col("lon"), F.col("lat"), F.col("c_lon"), F.col("c_lat"))).alias("radius"))
 
 
+def cells(lon: np.ndarray, lat: np.ndarray) -> tuple[int, int]:
+    """(coarse, fine): how many geohash cells of five and of seven characters the points lie in, the bounds of a user's number of clusters."""
+    count = lambda a, b: len(np.unique(np.column_stack([np.floor((lon + 180) / (360.0 / a)), np.floor((lat + 90) / (180.0 / b))]), axis=0))
+    return count(8192, 4096), count(262144, 131072)
+
+
 def tosca_locations(ends: DataFrame, metres: float = 50.0, runs: int = 5) -> DataFrame:
     """Ends with ``lid`` by TOSCA: the run with the fewest clusters, nearest medoid, numbered by support."""
     from roamer.operators.clustering import tosca
@@ -71,7 +77,8 @@ def tosca_locations(ends: DataFrame, metres: float = 50.0, runs: int = 5) -> Dat
         pdf = pdf.sort_values("pid")
         xy = projected(pdf["lon"].to_numpy(), pdf["lat"].to_numpy())
         uid = int(pdf["uid"].iloc[0])
-        best = min((tosca(xy, metres, np.random.default_rng([uid & 0x7FFFFFFF, run])) for run in range(runs)), key=len)
+        kmin, kmax = cells(pdf["lon"].to_numpy(), pdf["lat"].to_numpy())
+        best = min((tosca(xy, metres, np.random.default_rng([uid & 0x7FFFFFFF, run]), kmin, kmax) for run in range(runs)), key=len)
         near = np.argmin(((xy[:, None, :] - xy[best][None, :, :]) ** 2).sum(axis=2), axis=1)
         return pdf[["uid", "pid"]].assign(root=pdf["pid"].to_numpy()[np.asarray(best)][near])
 

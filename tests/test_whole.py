@@ -1,5 +1,6 @@
 """Queries and operators that cover all of their input."""
 
+from roamer.operators import locations
 from roamer.plans import all_queries, electric
 
 
@@ -9,3 +10,11 @@ def test_routes_start_from_every_node(spark, sf):
     assert {r.source for r in got.select("source").distinct().collect()} == ids
     plans = all_queries()["e02_e03_e11_e12_trip_planner"](spark, sf).collect()
     assert {r.source for r in plans} == {r.target for r in plans} == ids and len(plans) == len(ids)
+
+
+def test_a_user_may_have_more_than_64_locations(spark):
+    # Places of four ends each, 20 to 40 km apart.
+    places = [(0.2 * i + 0.013 * (i * j % 7), 0.2 * j + 0.011 * (i + 2 * j) % 5 * 0.01) for i in range(10) for j in range(10)]
+    rows = [(1, 4 * n + m, lon + m * 1e-5, lat) for n, (lon, lat) in enumerate(places) for m in range(4)]
+    ends = spark.createDataFrame(rows, "uid long, pid int, lon double, lat double")
+    assert locations.tosca_locations(ends).select("lid").distinct().count() > 64
