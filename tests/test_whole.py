@@ -1,6 +1,6 @@
 """Queries and operators that cover all of their input."""
 
-from roamer.operators import locations
+from roamer.operators import locations, spatial
 from roamer.plans import all_queries, electric
 
 
@@ -18,3 +18,13 @@ def test_a_user_may_have_more_than_64_locations(spark):
     rows = [(1, 4 * n + m, lon + m * 1e-5, lat) for n, (lon, lat) in enumerate(places) for m in range(4)]
     ends = spark.createDataFrame(rows, "uid long, pid int, lon double, lat double")
     assert locations.tosca_locations(ends).select("lid").distinct().count() > 64
+
+
+def test_nearest_places_at_any_distance(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, 179.9999, 10.0), (3, 25.0, 89.99)], "id long, lon double, lat double")
+    b = spark.createDataFrame([(1, 0.0, 0.1), (2, 20.0, 0.0), (3, -120.0, -40.0), (4, -179.9999, 10.0), (5, -155.0, 89.99)], "id2 long, lon2 double, lat2 double")
+    got = {}
+    for r in spatial.nearest(a, b, 3).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.id2)
+    assert {k: len(v) for k, v in got.items()} == {1: 3, 2: 3, 3: 3} and got[1][:2] == [1, 2] and got[2][0] == 4 and got[3][0] == 5
+    assert {(r.id, r.id2) for r in spatial.within(a, b, 3000).collect()} == {(2, 4), (3, 5)}
