@@ -1,9 +1,11 @@
 """Exact deduplication by a two-pass Bloom filter.
 
-Pass 1 counts the rows of each filter slot and keeps the slots that two rows
-or more hit. Pass 2 probes every row: rows in such a slot possibly repeat and
-are compared exactly by the hash of their whole text; all others are unique
-for certain and pass straight through without a shuffle.
+Pass 1 sets a slot for each row in two tables, by two hash functions, and keeps
+the words of 64 slots in which rows met. Pass 2 probes every row: rows whose
+words are kept in both tables possibly repeat and are compared exactly by the
+hash of their whole text; all others are unique for certain and pass straight
+through without a shuffle. The filter grows with the rows up to the bound of
+what is broadcast; beyond 10^9 rows more and more unique rows are compared too.
 
 Texts are equal when they are identical after each run of space, tab, line
 feed, vertical tab, form feed and carriage return became one space; null counts
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roamer.llm.store import filter_bits, filter_of, probed, slot, written
+from roamer.llm.store import repeat_filter, repeat_words, repeated, written
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -41,10 +43,10 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _repeat_filter(prints: DataFrame, bits: int) -> DataFrame:
-    """Pass 1: the filter of slots that at least two rows hit."""
-    hits = prints.groupBy(slot(F.col("digest"), bits).alias("slot")).count()
-    return filter_of(hits.where("count > 1"), "slot")
+def possibly_repeated(rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: whether their ``digest`` possibly repeats among the written ``prints``."""
+    words = repeat_words(prints.count())
+    return repeated(rows, F.col("digest"), repeat_filter(prints, "digest", words), words)
 
 
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,8 +58,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     third of all rows is split by the adaptive skew join.
     """
     prints = _fingerprints(docs, id_col, text_col)
-    bits = filter_bits(prints.count())
-    seen = probed(prints.withColumn("slot", slot(F.col("digest"), bits)), "slot", _repeat_filter(prints, bits), "maybe")
+    seen = possibly_repeated(prints, prints)
     maybe = seen.where("maybe").select("row_id", "id", "digest")
     groups = written(
         maybe.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("row_id").alias("row_id"))).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"),
@@ -77,16 +78,15 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows whose slot is hit once are not shuffled. Of the others one row a group
+    Rows that are unique for certain are not shuffled. Of the others one row a group
     leaves each task (partial aggregation), so hot groups collapse early.
     """
     prints = _fingerprints(docs, id_col, text_col)
-    bits = filter_bits(prints.count())
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(id_col).alias("id"),
         F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("digest"),
     )
-    seen = probed(keyed.withColumn("slot", slot(F.col("digest"), bits)), "slot", _repeat_filter(prints, bits), "maybe")
+    seen = possibly_repeated(keyed, prints)
     first = seen.where("maybe").groupBy("digest").agg(F.min_by("row", F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"))).alias("row"))
     return seen.where("not maybe").select("row.*").unionByName(first.select("row.*"))

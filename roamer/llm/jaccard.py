@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from roamer.llm.components import components
 from roamer.llm.kernels import U64, mix, shingle_sets
-from roamer.llm.store import filter_bits, filter_of, lean, probed, short_batches, slot, written
+from roamer.llm.store import filtered, lean, short_batches, written
 
 #: Classes searched together in one task; a larger group is searched block against block.
 GROUP = 8192
@@ -195,8 +195,7 @@ def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", te
     lists = whole.where("keys is not null").select("cls", "n", F.explode("keys").alias("key"))
     # A class may have come from several tasks: its postings repeat, so a list counts as long only with two classes.
     long = written(lists.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key", "df"), "jaccard-lists")
-    bits = filter_bits(long.count())
-    maybe = probed(lists.withColumn("slot", slot(F.col("key"), bits)), "slot", filter_of(long.select(slot(F.col("key"), bits).alias("slot")), "slot"), "maybe").where("maybe")
+    maybe = filtered(lists, F.col("key"), long, "key").where("maybe")
     hits = maybe.select("cls", "n", "key").join(long, "key")
     t = f"((n * {num} + {den - 1}) div {den})"
     ell = lambda n: f"(({n}) * {den - num} div {4 * den} + 1)"
@@ -213,8 +212,7 @@ def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", te
     hubs = own.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.max("home").alias("home")).where("hub <> top and home").select("key", "hub")
     hubs = written(hubs, "jaccard-hubs")
     # Most lists hold one document: their rows go by a filter of fixed size, without a shuffle.
-    bits = filter_bits(hubs.count())
-    maybe = probed(own.withColumn("slot", slot(F.col("key"), bits)), "slot", filter_of(hubs.select(slot(F.col("key"), bits).alias("slot")), "slot"), "maybe").where("maybe")
+    maybe = filtered(own, F.col("key"), hubs, "key").where("maybe")
     met = written(maybe.select("key", "cls", "node").join(hubs, "key").select("node", "cls", "hub"), "jaccard-met")
     groups = components(met.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     groups = written(met.select("node", "cls").distinct().join(groups, "node").select("cls", "root"), "jaccard-groups")
@@ -229,8 +227,7 @@ def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", te
         .select("cls", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
     targets = written(reps.join(dealt, "cls").groupBy("rep").agg(F.collect_list(F.struct("root", "i", "j", "cls")).alias("to")), "jaccard-targets")
-    bits = filter_bits(targets.count())
-    picked = probed(plain.withColumn("slot", slot(F.col("id"), bits)), "slot", filter_of(targets.select(slot(F.col("rep"), bits).alias("slot")), "slot"), "maybe").where("maybe").select("id", "text")
+    picked = filtered(plain, F.col("id"), targets, "rep").where("maybe").select("id", "text")
     work = targets.join(picked, F.col("rep") == F.col("id")).select(F.explode("to").alias("to"), "text").select("to.*", "text")
     work = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     links = work.mapInArrow(lean(_search(num, den, k)), "a long, b long")
@@ -256,8 +253,7 @@ def representatives(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     Rows are shuffled only if a filter of fixed size can't rule out that they go.
     """
     gone = written(join(docs, k, num, den, id_col, text_col).where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone")).distinct(), "jaccard-gone")
-    bits = filter_bits(gone.count())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
-    seen = probed(rows.withColumn("slot", slot(F.col("id"), bits)), "slot", filter_of(gone.select(slot(F.col("gone"), bits).alias("slot")), "slot"), "maybe")
+    seen = filtered(rows, F.col("id"), gone, "gone")
     stay = seen.where("maybe").join(gone, F.col("id") == F.col("gone"), "left_anti")
     return seen.where("not maybe").select("row.*").unionByName(stay.select("row.*"))

@@ -25,10 +25,23 @@ def test_dedup_cases(odd):
 
 def test_a_full_filter_changes_nothing(docs, monkeypatch):
     want = sorted(map(str, exact_dedup.mark_duplicates(docs).collect()))
-    monkeypatch.setattr(exact_dedup, "filter_bits", lambda n: 6)
+    monkeypatch.setattr(exact_dedup, "repeat_words", lambda n: 2)
     assert sorted(map(str, exact_dedup.mark_duplicates(docs).collect())) == want
 
 
+def test_only_possibly_repeated_rows_are_compared(spark):
+    rows = spark.range(20_000).selectExpr("id", "sha2(cast(if(id % 100 = 0, 7, id) as string), 256) AS digest")
+    prints = store.written(rows, "test-prints")
+    maybe = exact_dedup.possibly_repeated(prints, prints).where("maybe")
+    assert maybe.where("id % 100 = 0 or id = 7").count() == 201 and 201 <= maybe.count() < 201 + 200
+    # What pass 1 shuffles are words, a hot key's once a task.
+    hot = store.written(spark.range(0, 100_000, 1, 4).selectExpr("'same' AS digest"), "test-hot")
+    plan = store.repeat_filter(hot, "digest", store.repeat_words(100_000))[0]
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "partial_bit_or" in text and text.index("partial_bit_or") > text.index("Exchange hashpartitioning(word")
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 10, 150])
 def test_shards(docs, n):
     got = sharding.shard(docs.limit(n)).collect()
@@ -101,26 +114,66 @@ def test_components(spark, monkeypatch):
 def test_membership_filter(spark):
     from pyspark.sql import functions as F
 
-    a = spark.range(1000)
-    words = store.filter_of(a.select(store.slot(F.col("id"), 20).alias("slot")), "slot")
-    seen = store.probed(spark.range(5000).withColumn("slot", store.slot(F.col("id"), 20)), "slot", words, "hit")
+    keys = store.written(spark.range(1000).selectExpr("id AS key"), "test-keys")
+    seen = store.filtered(spark.range(5000), F.col("id"), keys, "key", "hit")
     assert seen.where("hit and id < 1000").count() == 1000 and seen.where("hit").count() < 1100
+    store.dropped(keys)
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        spark.read.parquet(keys.cut_point).count()
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        store.shared_dir(type("S", (), {"conf": Conf()})())
+
+
+def brute_captures(rows, least=0):
+    """page_id, size, digest, type and refers_to of each row, sorted."""
+    out, groups = [], defaultdict(list)
+    for i, u, h in rows:
+        groups[h or ""].append((i, u or ""))
+    for h, members in groups.items():
+        data = h.encode()
+        last = max(members, key=lambda m: (m[0] is not None, m[0] or 0, m[1]))
+        sha = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        rest = sorted(members, key=lambda m: m == last)
+        rest.pop()
+        apart = len(data) < least
+        out += [(last[0], len(data), sha, "response", None)] + [(i, len(data), sha, "response" if apart else "revisit", None if apart else last[0]) for i, _ in rest]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least", [0, 1, 5])
+def test_archives(spark, least):
+    rows = [(1, "http://a/b", "x\r\n\r\nWARC/1.1\r\nfoo"), (2, None, None), (3, "u", ""), (4, "http://h/?q#f", "é🙂"), (5, "http://h", "é🙂"), (5, "http://h", "é🙂"), (5, "http://g", "é🙂"), (6, "http://h", "\n\n")]
+    rows += [(7, "http://h/\r\n\r\nX-Injected: 1", "ctl"), (8, " \t", "ctl"), (None, "n", "lone"), (None, "n", "two"), (9, "m", "two")]
+    rows += [(100 + i, f"http://hot/{i}", "the same page") for i in range(300)] + [(500 + i // 2, "http://twice/", f"page {i // 2}") for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    whole = store.written(warc.round_trip(df, least=least), "test-captures")
+    assert sorted(map(tuple, warc.summary(whole).collect()), key=str) == brute_captures(rows, least)
+    got = whole.collect()
+    assert sorted(r.url for r in got) == sorted(u or "" for _, u, _ in rows) and len({r.capture_id for r in got}) == len(rows)
+    assert all(r.request and r.metadata and not re.search(r"[\x00-\x20\x7f]", r.uri) for r in got)
+    sent = defaultdict(set)
+    for r in got:
+        if r.answer.type == "response":
+            sent[bytes(r.answer.payload).decode()].add(r.capture_id)
+    assert set(sent) == {h or "" for _, _, h in rows}
+    assert all(r.answer.refers_to in {c for s in sent.values() for c in s} for r in got if r.answer.type == "revisit")
+    assert warc.round_trip(df.limit(0)).count() == 0
 
 
-def test_archives(spark):
-    rows = [(1, "http://a/b", "x\r\n\r\nWARC/1.1\r\nfoo"), (2, None, None), (3, "u", ""), (4, "http://h/?q#f", "é🙂"), (5, "http://h", "é🙂"), (5, "http://h", "é🙂"), (6, "http://h", "\n\n")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {tuple(r) for r in warc.summary(warc.round_trip(df)).collect()}
-    last = {}
-    for i, _, h in rows:
-        last[h or ""] = max(i, last.get(h or "", 0))
-    sha = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
-    assert got == {(i, len((h or "").encode()), sha(h or ""), "response" if last[h or ""] == i else "revisit", None if last[h or ""] == i else last[h or ""]) for i, _, h in rows}
-    apart = {tuple(r) for r in warc.summary(warc.round_trip(df, least=1)).collect()}
-    assert {r[0] for r in apart if r[3] == "revisit"} == {4}
-    assert warc.round_trip(df.limit(0)).count() == 0
-    whole = warc.round_trip(df).where("answer.type = 'response' and capture_id is not null").collect()
-    assert all(r.request and r.metadata for r in whole) and {bytes(r.answer.payload).decode() for r in whole} == {h or "" for _, _, h in rows}
+def test_archives_of_string_ids_and_records_on_their_own(spark):
+    df = spark.createDataFrame([("b", "u", "x"), ("a", "u", "x")], "page_id string, url string, html string")
+    assert sorted(tuple(r)[::3] for r in warc.summary(warc.round_trip(df), kind="string").collect()) == [("a", "revisit"), ("b", "response")]
+    some = spark.createDataFrame([("response", "<1>", None), ("request", "<2>", "<0>"), ("response", "<3>", None), ("request", "<4>", "<3>")], "type string, id string, concurrent_to string")
+    empty = spark.createDataFrame([], warc.RECORD)
+    got = {r.capture_id: (r.request and r.request.id, r.metadata) for r in warc.assemble(empty.unionByName(some, allowMissingColumns=True)).collect()}
+    assert got == {"<1>": (None, None), "<3>": ("<4>", None)}
 
 
 def test_archive_parser_reads_gzip_members_and_plain_files():
@@ -130,8 +183,9 @@ def test_archive_parser_reads_gzip_members_and_plain_files():
     a, b = rec("response", "<a>", b"payload"), rec("warcinfo", "<b>", b"")
     for data in (a + b, gzip.compress(a) + gzip.compress(b)):
         assert [(r["type"], r["payload"]) for r in warc.parse(data)] == [("response", b"payload"), ("warcinfo", None)]
-    with pytest.raises(ValueError):
-        list(warc.parse(a[:-8]))
+    for broken in (a[:-8], a.replace(b"Content-Length", b"Length"), b"junk" + a):
+        with pytest.raises(ValueError, match="record"):
+            list(warc.parse(broken))
 
 
 def test_pages_equal_their_articles(spark, sf):
