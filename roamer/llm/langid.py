@@ -34,8 +34,8 @@ from roamer.llm.store import lean, short_batches
 
 #: Places of a vector.
 DIMENSIONS = 1024
-#: Characters of text whose vectors are made together (one text at least).
-BLOCK = 1 << 20
+#: Characters of text whose vectors are made together, and trigrams whose vectors are held at a time.
+BLOCK, SLICE = 1 << 20, 4096
 SPACE = 32
 
 
@@ -67,7 +67,7 @@ def bound(a: np.ndarray, b: np.ndarray, c: np.ndarray, dimensions: int) -> np.nd
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about ``BLOCK`` characters."""
+    """Runs of rows with about ``BLOCK`` bytes (one row at least)."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     first = 0
     while first < len(texts):
@@ -77,25 +77,66 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def text_vectors(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors, trigram totals): a row for each text; a text without letters has total 0."""
-    codes = [_letters()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)] for t in texts]
+def letters(text: str) -> np.ndarray:
+    """A text's letters in lower case, each run of other characters as one space, with a space at either end."""
     gap = np.array([SPACE], np.uint32)
-    chars = np.concatenate([x for c in codes for x in (gap, c, gap)])
-    doc = np.repeat(np.arange(len(texts)), [len(c) + 2 for c in codes])
+    chars = np.concatenate([gap, _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], gap])
     keep = np.ones(len(chars), bool)
-    keep[1:] = (chars[1:] != SPACE) | (chars[:-1] != SPACE) | (doc[1:] != doc[:-1])
-    chars, doc = chars[keep], doc[keep]
+    keep[1:] = (chars[1:] != SPACE) | (chars[:-1] != SPACE)
+    return chars[keep]
+
+
+def _bundled(parts: list[np.ndarray], owners: np.ndarray, out: np.ndarray) -> None:
+    """Add the vectors of all trigrams of the parts to their owners' rows.
+
+    Trigrams are taken ``SLICE`` at a time, in the order in which they first appear, so that a slice meets few
+    texts if texts have few trigrams in common; only those texts' counts are laid out.
+    """
+    chars = np.concatenate(parts)
+    doc = np.repeat(owners, [len(p) for p in parts])
+    part = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    inner = np.flatnonzero(part[:-2] == part[2:]) if len(chars) > 2 else np.empty(0, np.int64)
+    if not len(inner):
+        return
     known, small = np.unique(chars, return_inverse=True)
     k = len(known)
-    inner = np.flatnonzero((doc[:-2] == doc[2:])) if len(chars) > 2 else np.empty(0, np.int64)
-    key = (small[inner].astype(np.int64) * k + small[inner + 1]) * k + small[inner + 2]
-    grams, at = np.unique(key, return_inverse=True)
-    counts = np.bincount(doc[inner] * len(grams) + at, minlength=len(texts) * len(grams)).reshape(len(texts), len(grams)) if len(grams) else np.zeros((len(texts), 0))
-    vectors = bound(known[grams // (k * k)], known[grams // k % k], known[grams % k], dimensions)
-    # counts below 2^24 and sums of them are exact in single precision as long as a text has under 2^24 trigrams
-    kind = np.float32 if counts.sum(axis=1, initial=0).max(initial=0) < 1 << 24 else np.float64
-    return counts.astype(kind) @ vectors.astype(kind), counts.sum(axis=1)
+    grams, first, at = np.unique((small[inner].astype(np.int64) * k + small[inner + 1]) * k + small[inner + 2], return_index=True, return_inverse=True)
+    order = np.argsort(first, kind="stable")
+    rank = np.empty(len(grams), np.int64)
+    rank[order] = np.arange(len(grams))
+    pairs, counts = np.unique(rank[at] * len(out) + doc[inner], return_counts=True)
+    place, owner, grams = pairs // len(out), pairs % len(out), grams[order]
+    bounds = np.searchsorted(place, np.arange(0, len(grams) + SLICE, SLICE))
+    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        own = grams[i * SLICE : (i + 1) * SLICE]
+        vectors = bound(known[own // (k * k)], known[own // k % k], known[own % k], out.shape[1])
+        texts, row = np.unique(owner[a:b], return_inverse=True)
+        # A slice's counts add up to fewer than 2^24, so single precision is exact.
+        table = np.zeros((len(texts), len(own)), np.float32)
+        table[row, place[a:b] - i * SLICE] = counts[a:b]
+        out[texts] += table @ vectors.astype(np.float32)
+
+
+def text_vectors(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, trigram totals): a row for each text; a text without letters has total 0.
+
+    Memory is that of ``BLOCK`` characters at a time besides the longest text itself.
+    """
+    out, totals = np.zeros((len(texts), dimensions)), np.zeros(len(texts), np.int64)
+    parts, owners, held = [], [], 0
+    for i, text in enumerate(texts):
+        chars = letters(text)
+        totals[i] = max(0, len(chars) - 2)
+        for at in range(0, max(1, len(chars) - 2), BLOCK):
+            parts.append(chars[at : at + BLOCK + 2])
+            owners.append(i)
+            held += len(parts[-1])
+            if held >= BLOCK:
+                _bundled(parts, np.array(owners, np.int64), out)
+                parts, owners, held = [], [], 0
+    if parts:
+        _bundled(parts, np.array(owners, np.int64), out)
+    return out, totals
 
 
 def _sums(dimensions: int) -> Callable:
@@ -106,7 +147,7 @@ def _sums(dimensions: int) -> Callable:
                 langs = np.array(batch.column(0).slice(a, b - a).to_pylist(), object)
                 vectors, _ = text_vectors(batch.column(1).slice(a, b - a).to_pylist(), dimensions)
                 for lang in set(langs.tolist()):
-                    total[lang] = total.get(lang, np.zeros(dimensions, np.int64)) + vectors[langs == lang].sum(axis=0, dtype=np.float64).astype(np.int64)
+                    total[lang] = total.get(lang, np.zeros(dimensions, np.int64)) + vectors[langs == lang].astype(np.int64).sum(axis=0)
         for lang, vector in total.items():
             yield pa.record_batch([pa.array([lang] * dimensions), pa.array(range(dimensions), pa.int32()), pa.array(vector)], names=["lang", "place", "value"])
 
@@ -136,7 +177,7 @@ def _predicted(prototypes: dict[str, list[int]], dimensions: int) -> Callable:
                     lang += ["und"] * (b - a)
                     score += [0.0] * (b - a)
                     continue
-                norm = np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
+                norm = np.linalg.norm(vectors, axis=1, keepdims=True)
                 cosine = (vectors @ matrix.T) / np.where(norm > 0, norm, 1)
                 best = np.argmax(cosine, axis=1)
                 some = totals > 0

@@ -52,10 +52,66 @@ def test_language_cases(odd):
     assert langid.recognised(odd.limit(0)).count() == 0
 
 
-def test_vectors_are_bound_in_order():
+def brute_vector(text, dimensions):
+    """One trigram after the other, in plain Python integers."""
+    low = [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in f" {text} "]
+    chars = [c for i, c in enumerate(low) if c != " " or i == 0 or low[i - 1] != " "]
+    out = [0] * dimensions
+    vectors = {c: langid.letter_vector(ord(c), dimensions).tolist() for c in set(chars)}
+    for x, y, z in zip(chars, chars[1:], chars[2:]):
+        a, b, c = vectors[x], vectors[y], vectors[z]
+        for d in range(dimensions):
+            out[d] += a[d - 2] * b[d - 1] * c[d]
+    return out
+
+
+def test_vectors_are_bound_in_order(monkeypatch):
     a = langid.text_vectors(["abc"], 256)[0]
     b = langid.text_vectors(["cba"], 256)[0]
     assert not np.array_equal(a, b) and np.array_equal(a, langid.text_vectors(["A-B c".replace("-B c", "bc")], 256)[0])
+    rnd = random.Random(3)
+    texts = ["", "12 3", "Ab", "été  Straße ΑΒΓ", "".join(rnd.choice("ab é中文字ÅZ. 1") for _ in range(300)), "".join(chr(0x4E00 + rnd.randrange(2000)) for _ in range(400))]
+    want = [brute_vector(t, 64) for t in texts]
+    for block, size in ((1 << 20, 4096), (50, 7), (1, 1)):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "SLICE", size)
+        got, totals = langid.text_vectors(texts, 64)
+        assert got.astype(int).tolist() == want and totals[0] == totals[1] - 0 == 0 and totals[2] == 2
+
+
+def test_predictions_equal_brute_force(docs):
+    rows = [r for r in docs.select("doc_id", "text", "lang").collect() if len(r.text or "") < 1500]
+    size = 32
+    some = docs.sparkSession.createDataFrame(rows[:120], "doc_id long, text string, lang string")
+    prototypes = langid.learned(some, dimensions=size)
+    sums = {}
+    for r in rows[:120]:
+        if r.lang is not None and r.text is not None:
+            sums[r.lang] = [x + y for x, y in zip(sums.get(r.lang, [0] * size), brute_vector(r.text, size))]
+    assert prototypes == {k: v for k, v in sorted(sums.items()) if any(v)}
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    for r in langid.predict(some, prototypes, ["doc_id", "text"], dimensions=size).collect():
+        v = brute_vector(r.row.text or "", size)
+        cosine = {k: sum(x * y for x, y in zip(v, p)) / (norm(p) * (norm(v) or 1)) for k, p in prototypes.items()}
+        best = max(cosine.values())
+        if any(c.isalpha() for c in r.row.text or ""):
+            assert abs(cosine[r.lang] - best) < 1e-9 and abs(r.score - min(1, max(0, best))) < 1e-5
+        else:
+            assert (r.lang, r.score) == ("und", 0)
+
+
+def test_language_memory_of_texts_without_common_trigrams():
+    """Random ideographs, 340 texts of a thousand and one of 300,000, in a process of their own."""
+    code = (
+        "import random, resource, sys; from roamer.llm import langid; rnd = random.Random(1); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;"
+        "some = lambda n: ''.join(map(chr, rnd.choices(range(0x4E00, 0x9FA5), k=n)));"
+        "langid.text_vectors([some(1000) for _ in range(340)], 1024); langid.text_vectors([some(300_000)], 1024);"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)"
+    )
+    import subprocess
+    import sys
+
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 600_000
 
 
 def brute_contaminated(docs, items):
