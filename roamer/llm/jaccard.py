@@ -2,27 +2,33 @@
 
 A document with n shingles can only be linked, at similarity t, to one that
 occurs in T = ceil(t n) of its n inverted lists. DivideSkip sets the L longest
-lists aside, merges the others and probes the long ones by binary search for
-documents that the merge met T - L times. Spread over a cluster that becomes:
+lists aside, heap-merges the others, skipping what can't be met T - L times, and
+probes the long ones by binary search. Spread over a cluster that becomes:
 
 1. Equal sets are one class; only classes are searched.
 2. A fixed order of the lists takes n - T + l of each document's lists. Any
    partner occurs in at least l of these. Their lengths are counted over the
    whole corpus, and documents with too few lists longer than one are done.
 3. Within what step 2 took, the shortest lists (by counted length) that still
-   must hold a partner once are merged: their documents form groups, and
-   linked documents always share a group.
-4. A group is searched in one task: heap merge over its short lists, binary
-   probes into the long ones, with only unreached documents as candidates, so
-   a family of near copies costs one pass instead of all its pairs. A group of
-   more than ``GROUP`` classes is dealt out as pairs of its blocks.
+   must hold a partner once hold every linked pair. Each list has a hub, its
+   least document.
+4. A hub that more than ``HOT`` documents meet most often is compared with
+   these, in blocks: a family of near copies becomes one component in one pass.
+   Lists within one component are done.
+5. The documents of the lists that remain form groups, and documents that may be
+   linked share a group. A group is searched with DivideSkip (``Group``), with
+   only unreached documents as candidates. Large groups are dealt into blocks of
+   ``BLOCK`` classes and ``WEIGHT`` shingles at most (one class at least), and
+   blocks meet in pairs; a large component of step 4 has blocks of its own,
+   which don't meet each other.
 
 Similarity is tested as den * |x n y| >= num * |x u y| on whole sets.
 
-Shingles are compared as 64-bit hashes, sets as 64-bit hashes of their hashes.
+Shingles are compared as 64-bit hashes, sets as 128-bit hashes of their hashes.
 
 Cases: null text is empty; a document without words has no shingle and no
-link; null ids are kept, with a null component unless they are linked; rows
+link; ids may be of any type that has an order; a null id is linked like others
+but is no component's id (null if a component has no other); rows
 repeating a text are one class; an empty table gives an empty result; other
 columns aren't read.
 """
@@ -31,19 +37,24 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roamer.llm.components import components
 from roamer.llm.kernels import U64, mix, shingle_sets
-from roamer.llm.store import filtered, lean, short_batches, written
+from roamer.llm.store import dropped, filtered, lean, short_batches, written
 
-#: Classes searched together in one task; a larger group is searched block against block.
-GROUP = 8192
+#: Classes and shingles of a block; two blocks are searched together.
+BLOCK, WEIGHT = 1024, 1 << 21
+#: From so many documents on, a hub is compared with them before groups are formed.
+HOT = 128
+#: Cost of merging a list against probing it, as in DivideSkip's L = T / (MU log2 M + 1), M the longest list.
+MU = 0.0085
 
 
 def required(n: int, num: int, den: int) -> int:
@@ -65,8 +76,10 @@ def merged(n: int, num: int, den: int) -> int:
     return taken(n, num, den) - slack(required(n, num, den), num, den) + 1
 
 
-def _set_hash(s: np.ndarray) -> int:
-    return int(mix(np.array([np.add.reduce(mix(s)), len(s)], U64).cumsum()[1:]).astype(np.int64)[0])
+def set_hash(s: np.ndarray) -> bytes:
+    """128 bits of a set of shingles."""
+    sums = [np.add.reduce(mix(s ^ salt)) for salt in (U64(0), U64(0x5851F42D4C957F2D))]
+    return mix(np.array(sums, U64) + U64(len(s))).tobytes()
 
 
 def _order(s: np.ndarray) -> np.ndarray:
@@ -75,185 +88,310 @@ def _order(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(num: int, den: int, k: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("keys", pa.list_(pa.int64()))])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 36
         for batch in batches:
             seen, n, cls, keys = set(), [], [], []
-            for s in shingle_sets(batch.column(1), k):
+            for s in shingle_sets(batch.column(2), k):
                 n.append(len(s))
-                cls.append(_set_hash(s) if len(s) else None)
+                cls.append(set_hash(s) if len(s) else None)
                 new = len(s) and cls[-1] not in seen
                 seen.add(cls[-1])
                 keys.append(_order(s)[: taken(len(s), num, den)].astype(np.int64) if new else None)
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            numbers = pa.array(np.arange(number, number + len(batch)))
+            number += len(batch)
+            yield pa.record_batch([batch.column(0), batch.column(1), numbers, pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "row", "num", "n", "cls", "keys"])
 
     return run
 
 
+def long_lists(t: int, longest: int) -> int:
+    """L: how many of the longest lists are probed, not merged."""
+    return min(t - 1, int(t / (MU * math.log2(max(longest, 1)) + 1)))
+
+
+def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """(value, count) of the values in at least so many of the sorted lists.
+
+    A heap holds the front of each list. A value met too seldom is popped together with the next ones until
+    ``least`` - 1 fronts are off the heap: what lies below the new top can't be met often enough and is skipped
+    in these lists by binary search.
+    """
+    heap = [(m[0], i) for i, m in enumerate(lists) if m]
+    heapq.heapify(heap)
+    at = [0] * len(lists)
+    while len(heap) >= least:
+        top = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap)[1])
+        target = top + 1
+        if len(popped) >= least:
+            yield top, len(popped)
+        else:
+            while heap and len(popped) < least - 1:
+                popped.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            target = max(target, heap[0][0])
+        for i in popped:
+            at[i] = bisect_left(lists[i], target, at[i])
+            if at[i] < len(lists[i]):
+                heapq.heappush(heap, (lists[i][at[i]], i))
+
+
 class Group:
-    """Inverted lists over the sets of one group."""
+    """DivideSkip over the inverted lists of the sets of one or two blocks.
 
-    def __init__(self, sets: list[np.ndarray], num: int, den: int) -> None:
+    ``comps`` are known components, whose sets aren't compared with each other; with ``sides``, only sets of
+    different sides are compared.
+    """
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int, comps: list[int] | None = None, sides: list[int] | None = None) -> None:
         self.sets, self.num, self.den = sets, num, den
-        sizes = np.array([len(s) for s in sets])
-        docs = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-        values = np.concatenate(sets)
-        order = np.argsort(values, kind="stable")
-        self.docs = docs[order]
-        self.keys, self.first = np.unique(values[order], return_index=True)
-        self.length = np.diff(np.append(self.first, len(values)))
-        self.sizes = sizes
-
-    def candidates(self, x: int, open_: np.ndarray) -> list[int]:
-        """Unreached documents that the merge of x's short lists meets T - L times."""
-        s = self.sets[x]
-        t = required(len(s), self.num, self.den)
-        at = np.searchsorted(self.keys, s)
-        at = at[np.argsort(self.length[at], kind="stable")]
-        short = at[: len(s) - t + 1]  # L = T - 1 long lists stay aside, one meeting is enough
-        lists = [m for i in short.tolist() if self.length[i] > 1 and len(m := self.docs[self.first[i] : self.first[i] + self.length[i]][open_[self.docs[self.first[i] : self.first[i] + self.length[i]]]])]
-        if not lists:
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.comps = list(range(len(sets))) if comps is None else comps
+        self.sides = None if sides is None else np.array(sides)
+        self.open = np.ones(len(sets), bool)
+        self.left = self.indexed = len(sets)
+        docs, values = np.repeat(np.arange(len(sets)), self.sizes), np.concatenate(sets)
+        self.keys, rank = np.unique(values, return_inverse=True)
+        self.codes = np.sort(rank * len(sets) + docs)  # list by list, each sorted by document
+        self._bounds()
+
+    def _bounds(self) -> None:
+        self.first = np.searchsorted(self.codes, np.arange(len(self.keys) + 1) * len(self.sets))
+        self.length = np.diff(self.first)
+
+    def close(self, members: list[int]) -> None:
+        """These are reached; lists drop what is reached when half of their documents are."""
+        self.open[members] = False
+        self.left -= len(members)
+        if self.left * 2 < self.indexed:
+            self.codes = self.codes[self.open[self.codes % len(self.sets)]]
+            self.indexed = self.left
+            self._bounds()
+
+    def divided(self, x: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(short lists to merge, long lists to probe, T - L) of a set; nothing to merge if no set can be met T times."""
+        t = required(len(self.sets[x]), self.num, self.den)
+        lists = np.searchsorted(self.keys, self.sets[x])
+        lists = lists[self.length[lists] > 0]
+        if len(lists) < t:
+            return lists[:0], lists, t
+        lists = lists[np.argsort(self.length[lists], kind="stable")]
+        aside = long_lists(t, int(self.length[lists[-1]]))
+        return lists[: len(lists) - aside], lists[len(lists) - aside :], t - aside
+
+    def probe(self, y: int, met: int, long: np.ndarray, enough: int) -> bool:
+        """Whether a document met so often in short lists is in enough lists, by binary search in the long ones."""
+        for a in range(0, len(long), 128):
+            if met >= enough or met + len(long) - a < enough:
+                break
+            code = long[a : a + 128] * len(self.sets) + y
+            at = np.searchsorted(self.codes, code)
+            met += int(np.count_nonzero(self.codes[np.minimum(at, len(self.codes) - 1)] == code))
+        return met >= enough
+
+    def partners(self, x: int) -> list[int]:
+        """The unreached sets linked to x."""
+        if not self.left:
+            return []
+        short, long, least = self.divided(x)
+        if not len(short):
             return []
-        found, last = [], -1
-        for d in heapq.merge(*(m.tolist() for m in lists)) if len(lists) < 16 else np.unique(np.concatenate(lists)).tolist():
-            if d != last and d != x:
-                found.append(d)
-            last = d
-        low, high = required(len(s), self.num, self.den), len(s) * self.den // self.num
-        return [d for d in found if low <= self.sizes[d] <= high]
-
-    def linked(self, x: int, y: int) -> bool:
-        """Binary probes of x's lists for y, which are y's set for x's shingles."""
-        a, b = self.sets[x], self.sets[y]
-        if len(a) > len(b):
-            a, b = b, a
-        at = np.searchsorted(b, a)
-        at[at == len(b)] = 0
-        both = int(np.count_nonzero(b[at] == a))
-        return self.den * both >= self.num * (len(a) + len(b) - both)
-
-    def roots(self) -> list[int]:
-        """For each set the first set of its component."""
-        root = list(range(len(self.sets)))
-        open_ = np.ones(len(self.sets), bool)
-        for start in range(len(self.sets)):
-            if not open_[start]:
+        usable = self.open if self.sides is None else self.open & (self.sides != self.sides[x])
+        merged_lists = []
+        for i in short.tolist():
+            docs = self.codes[self.first[i] : self.first[i + 1]] - i * len(self.sets)
+            merged_lists.append(docs[usable[docs]].tolist())
+        n, found = len(self.sets[x]), []
+        for y, met in merge_skip(merged_lists, least):
+            size = int(self.sizes[y])
+            enough = -(-self.num * (n + size) // (self.num + self.den))  # den * both >= num * (n + size - both)
+            if enough <= min(n, size) and self.probe(y, met, long, enough):
+                found.append(y)
+        return found
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links that join all that is linked, besides the known components."""
+        members: dict[int, list[int]] = {}
+        for x, c in enumerate(self.comps):
+            members.setdefault(c, []).append(x)
+        out = []
+        for own in sorted(members.values(), key=len):  # the largest component comes last, when nothing is left to look for
+            if not self.open[own[0]]:
                 continue
-            open_[start] = False
-            queue = [start]
+            self.close(own)
+            queue = list(own)
             while queue:
                 x = queue.pop()
-                for y in self.candidates(x, open_):
-                    if self.linked(x, y):
-                        root[y] = start
-                        open_[y] = False
-                        queue.append(y)
-        return root
+                for y in self.partners(x):
+                    if not self.open[y]:  # reached with its component just now
+                        continue
+                    out.append((y, x))
+                    self.close(members[self.comps[y]])
+                    queue += members[self.comps[y]]
+        return out
 
 
 def _search(num: int, den: int, k: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def solved(cls: list[int], texts: list[pa.Array]) -> pa.RecordBatch:
-        found: dict[int, np.ndarray] = {}
-        for c, s in zip(cls, (s for t in texts for s in shingle_sets(t, k)), strict=True):
-            if c not in found and _set_hash(s) == c:  # rows that repeat an id may have other texts
-                found[c] = s
+    def solved(rows: list[tuple[int, bytes, int, int]], texts: list[pa.Array]) -> pa.RecordBatch:
+        found: dict[int, tuple] = {}
+        for (number, cls, comp, side), s in zip(rows, (s for t in texts for s in shingle_sets(t, k)), strict=True):
+            if set_hash(s) == cls:  # another text may have the same row hash
+                found[number] = (s, comp, side)
         nodes = sorted(found)
-        sets = [found[c] for c in nodes]
-        root = Group(sets, num, den).roots() if sets else []
-        pairs = [(nodes[i], nodes[r]) for i, r in enumerate(root) if i != r]
+        pairs = []
+        if len(nodes) > 1:
+            sets, comps, sides = (list(x) for x in zip(*(found[c] for c in nodes), strict=True))
+            group = Group(sets, num, den, comps, None if min(sides) < 0 else sides)
+            pairs = [(nodes[a], nodes[b]) for a, b in group.links()]
         return pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cls, texts = None, [], []
+        key, rows, texts = None, [], []
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True))
+            own = list(zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True))
             start = 0
             for i in range(1, len(keys) + 1):
                 if i == len(keys) or keys[i] != keys[start]:
                     if keys[start] != key:
-                        if len(cls) > 1:
-                            yield solved(cls, texts)
-                        key, cls, texts = keys[start], [], []
-                    cls += batch.column(3).slice(start, i - start).to_pylist()
-                    texts.append(batch.column(4).slice(start, i - start))
+                        if len(rows) > 1:
+                            yield solved(rows, texts)
+                        key, rows, texts = keys[start], [], []
+                    rows += own[start:i]
+                    texts.append(batch.column(6).slice(start, i - start))
                     start = i
-        if len(cls) > 1:
-            yield solved(cls, texts)
+        if len(rows) > 1:
+            yield solved(rows, texts)
 
     return run
 
 
-def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(sets, links): (id, n, cls) of every row, and (cls, root) of every class linked to another."""
+def row_hash(id_: Column, text: Column) -> Column:
+    """What a row is found again by: a hash of its id and text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), id_)
+
+
+def _linked(plain: DataFrame, classes: DataFrame, jobs: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """Links (a, b) that the jobs find: (i, j) and for each class num, comp and side; texts are shuffled once to a row of jobs."""
+    wanted = jobs.groupBy("num").agg(F.collect_list(F.struct("i", "j", "comp", "side")).alias("jobs"))
+    wanted = written(wanted.join(classes.select("num", "cls", "row"), "num"), "jaccard-wanted")
+    texts = filtered(plain, F.col("row"), wanted, "row").where("maybe").groupBy("row").agg(F.first("text").alias("text"))
+    work = wanted.join(texts, "row").select("num", "cls", F.explode("jobs").alias("job"), "text").select("job.i", "job.j", "num", "cls", "job.comp", "job.side", "text")
+    work = work.repartition("i", "j").sortWithinPartitions("i", "j")
+    links = written(work.mapInArrow(lean(_search(num, den, k)), "a long, b long"), "jaccard-links")
+    dropped(wanted)
+    return links
+
+
+def _blocks(groups: DataFrame) -> DataFrame:
+    """The jobs of groups (num, root, comp, n): pairs of blocks."""
+    parts = lambda n, w: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(w / F.lit(WEIGHT))).cast("int")
+    sizes = groups.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("w"))
+    large = F.when((F.col("n") > BLOCK // 4) | (F.col("w") > WEIGHT // 4), F.col("comp"))
+    sizes = written(sizes.withColumn("large", large).withColumn("pool", F.xxhash64("root", F.coalesce("large", F.lit(-1)))), "jaccard-sizes")
+    pools = sizes.groupBy("root", "pool", "large").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).select("root", "pool", "large", parts(F.col("n"), F.col("w")).alias("parts"))
+    pools = written(pools, "jaccard-pools")
+    blocks = pools.select("root", "large", "pool", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("root", "large", F.xxhash64("pool", "part").alias("block"))
+    other = blocks.select("root", F.col("large").alias("large2"), F.col("block").alias("block2"))
+    pairs = blocks.join(other, "root").where(F.col("large").isNull() & F.col("large2").isNull() | ~F.col("large").eqNullSafe(F.col("large2")))
+    pairs = pairs.select("block", F.least("block", "block2").alias("i"), F.greatest("block", "block2").alias("j"))
+    placed = groups.join(sizes.select("root", "comp", "pool"), ["root", "comp"]).join(pools.select("pool", "parts"), "pool")
+    placed = placed.select("num", "comp", F.xxhash64("pool", F.pmod(F.xxhash64("num"), F.col("parts")).cast("int")).alias("block"))
+    return placed.join(pairs, "block").select("i", "j", "num", "comp", F.when(F.col("i") == F.col("j"), -1).otherwise((F.col("block") == F.col("j")).cast("int")).alias("side"))
+
+
+def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links): (id, row, n, cls) of every row, (cls, num, least id, rows) of every class, (num, root) of the linked ones."""
     short_batches(docs.sparkSession)
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    whole = written(plain.mapInArrow(lean(_sets(num, den, k)), "id long, n long, cls long, keys array<long>"), "jaccard-sets")
-    sets = whole.select("id", "n", "cls")
-    lists = whole.where("keys is not null").select("cls", "n", F.explode("keys").alias("key"))
-    # A class may have come from several tasks: its postings repeat, so a list counts as long only with two classes.
-    long = written(lists.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key", "df"), "jaccard-lists")
-    maybe = filtered(lists, F.col("key"), long, "key").where("maybe")
-    hits = maybe.select("cls", "n", "key").join(long, "key")
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", row_hash(F.col("id"), F.col("text")))
+    kind = plain.schema["id"].dataType.simpleString()
+    whole = written(plain.select("id", "row", "text").mapInArrow(lean(_sets(num, den, k)), f"id {kind}, row long, num long, n long, cls binary, keys array<long>"), "jaccard-sets")
+    rows = written(whole.select("id", "row", "n", "cls"), "jaccard-rows")
+    own = whole.where("cls is not null").select("cls", "num", "row", "id", F.col("keys").isNotNull().alias("lists"))
+    classes = written(own.groupBy("cls").agg(F.min(F.when(F.col("lists"), F.struct("num", "row"))).alias("first"), F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).select("cls", "first.num", "first.row", "least", "rows"), "jaccard-classes")
+    # A class may have come from several tasks: one of them posts its lists.
+    again = written(own.where("lists").select("cls", "num").join(classes.select("cls", F.col("num").alias("first")), "cls").where("num <> first").select("num"), "jaccard-again")
+    posted = filtered(whole.where("keys is not null").select("num", "n", "keys"), F.col("num"), again, "num")
+    posted = posted.where("not maybe").select("num", "n", "keys").unionByName(posted.where("maybe").select("num", "n", "keys").join(again, "num", "left_anti"))
+    lists = posted.select("num", "n", F.explode("keys").alias("key"))
+    long = written(lists.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-lists")
+    hits = filtered(lists, F.col("key"), long, "key").where("maybe").select("num", "n", "key").join(long, "key")
     t = f"((n * {num} + {den - 1}) div {den})"
     ell = lambda n: f"(({n}) * {den - num} div {4 * den} + 1)"
     take = f"least(n, n - {t} + {ell('n')})"
     need = f"({take} - {ell(t)} + 1 - ({take} - size(got)))"
-    own = hits.groupBy("cls", "n").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("got"))
+    mine = hits.groupBy("num", "n").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("got"))
     # Linked documents differ in size by a factor of den / num at most, so each is listed in its own band of
     # sizes and in the next (bands are 1 % wider than that factor, against rounding).
     band = f"int(floor(ln(n) / {math.log(1.01 * den / num)!r}))"
-    own = own.withColumn("need", F.expr(need)).where("need > 0").select("cls", F.explode(F.expr("slice(got, 1, int(need))")).alias("x"), F.expr(band).alias("band"))
-    own = own.select("cls", F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))).alias("b"), F.col("x.key").alias("key"))
-    own = written(own.select(F.xxhash64("key", "b.band").alias("key"), "cls", F.xxhash64("cls", "b.band").alias("node"), "b.home"), "jaccard-short")
+    mine = mine.withColumn("need", F.expr(need)).where("need > 0").select("num", "n", F.explode(F.expr("slice(got, 1, int(need))")).alias("x"), F.expr(band).alias("band"))
+    mine = mine.select("num", "n", F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))).alias("b"), F.col("x.key").alias("key"))
+    mine = written(mine.select(F.xxhash64("key", "b.band").alias("key"), "num", "n", F.xxhash64("num", "b.band").alias("node"), "b.home"), "jaccard-short")
+    dropped(whole, again, long)
     # A list without a document of its own band holds pairs that meet in the band below.
-    hubs = own.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.max("home").alias("home")).where("hub <> top and home").select("key", "hub")
+    hubs = mine.groupBy("key").agg(F.min(F.struct("node", "num")).alias("hub"), F.max("node").alias("top"), F.max("home").alias("home")).where("hub.node <> top and home").select("key", F.col("hub.node").alias("hub"), F.col("hub.num").alias("hub_num"))
     hubs = written(hubs, "jaccard-hubs")
     # Most lists hold one document: their rows go by a filter of fixed size, without a shuffle.
-    maybe = filtered(own, F.col("key"), hubs, "key").where("maybe")
-    met = written(maybe.select("key", "cls", "node").join(hubs, "key").select("node", "cls", "hub"), "jaccard-met")
-    groups = components(met.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    groups = written(met.select("node", "cls").distinct().join(groups, "node").select("cls", "root"), "jaccard-groups")
-    reps = written(sets.where("cls is not null and id is not null").join(groups.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("rep")), "jaccard-reps")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.expr(f"int(ceil(size / {GROUP // 2}))")
-    dealt = (
-        groups.join(sizes, "root")
-        .withColumn("blocks", F.when(F.col("size") <= GROUP, 1).otherwise(blocks))
-        .withColumn("own", F.expr("int(pmod(xxhash64(cls), blocks))"))
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("cls", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
-    targets = written(reps.join(dealt, "cls").groupBy("rep").agg(F.collect_list(F.struct("root", "i", "j", "cls")).alias("to")), "jaccard-targets")
-    picked = filtered(plain, F.col("id"), targets, "rep").where("maybe").select("id", "text")
-    work = targets.join(picked, F.col("rep") == F.col("id")).select(F.explode("to").alias("to"), "text").select("to.*", "text")
-    work = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = work.mapInArrow(lean(_search(num, den, k)), "a long, b long")
-    return sets, components(links).select(F.col("node").alias("cls"), "root")
+    met = written(filtered(mine, F.col("key"), hubs, "key").where("maybe").select("key", "num", "n", "node").join(hubs, "key"), "jaccard-met")
+    dropped(mine, hubs)
+    most = met.where("num <> hub_num").groupBy("num", "hub_num").agg(F.count(F.lit(1)).alias("times")).groupBy("num").agg(F.max_by("hub_num", F.struct("times", "hub_num")).alias("hub_num"))
+    most = written(most, "jaccard-most")
+    hot = most.groupBy("hub_num").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > HOT).select("hub_num", F.ceil(F.col("members") / F.lit(max(1, BLOCK // 4))).cast("int").alias("parts"))
+    hot, links = written(hot, "jaccard-hot"), None
+    if hot.isEmpty():
+        groups = met.withColumn("comp", F.col("num"))
+    else:
+        part = F.pmod(F.xxhash64("num"), F.col("parts")).cast("long")
+        ends = most.join(hot, "hub_num").select(F.col("hub_num").alias("i"), part.alias("j"), "num", F.col("num").alias("comp"), F.lit(0).alias("side"))
+        heads = hot.select("hub_num", F.explode(F.expr("sequence(0L, bigint(parts) - 1)")).alias("j"))
+        ends = ends.unionByName(heads.select(F.col("hub_num").alias("i"), "j", F.col("hub_num").alias("num"), F.col("hub_num").alias("comp"), F.lit(1).alias("side")))
+        links = _linked(plain, classes, ends, num, den, k)
+        joined = components(links)
+        groups = met.join(joined.select(F.col("node").alias("num"), F.col("root").alias("comp")), "num", "left").withColumn("comp", F.coalesce("comp", "num"))
+        groups = written(groups, "jaccard-met")
+        mixed = written(groups.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "jaccard-mixed")
+        groups = filtered(groups, F.col("key"), mixed, "key").where("maybe").join(mixed, "key", "left_semi")
+    groups = written(groups.select("num", "n", "comp", "node", "hub").distinct(), "jaccard-nodes")
+    joined = components(groups.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    groups = written(groups.select("num", "n", "comp", "node").distinct().join(joined, "node").select("num", "n", "comp", "root").distinct(), "jaccard-groups")
+    found = _linked(plain, classes, _blocks(groups), num, den, k)
+    dropped(met, most, hot)
+    joined = components(found if links is None else found.unionByName(links))
+    return rows, classes, written(joined.select(F.col("node").alias("num"), "root"), "jaccard-roots")
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, n, component) of every row."""
+    rows, classes, linked = link(docs, k, num, den, id_col, text_col)
+    some = classes.join(linked, "num", "left")
+    roots = some.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
+    known = some.where("root is not null").join(roots, "root").select("cls", "component").unionByName(some.where("root is null and rows > 1").select("cls", F.col("least").alias("component")))
+    known = written(known, "jaccard-components")
+    return rows.join(known, "cls", "left").select("id", "row", "n", F.coalesce("component", "id").alias("component"))
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links)."""
-    sets, linked = link(docs, k, num, den, id_col, text_col)
-    classes = sets.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    classes = classes.join(linked, "cls", "left")
-    roots = classes.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-    known = written(
-        classes.where("root is not null").join(roots, "root").select("cls", "component").unionByName(classes.where("root is null and rows > 1").select("cls", F.col("least").alias("component"))),
-        "jaccard-components",
-    )
-    return sets.join(known, "cls", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return _components(docs, k, num, den, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def representatives(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each linked group those with the smallest id.
 
-    Rows are shuffled only if a filter of fixed size can't rule out that they go.
+    A null id is larger than all others; a group of null ids only stays. Rows are shuffled only if a filter of fixed
+    size can't rule out that they go.
     """
-    gone = written(join(docs, k, num, den, id_col, text_col).where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone")).distinct(), "jaccard-gone")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
-    seen = filtered(rows, F.col("id"), gone, "gone")
-    stay = seen.where("maybe").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    gone = _components(docs, k, num, den, id_col, text_col).where(F.col("component").isNotNull() & (F.col("id").isNull() | (F.col("component") < F.col("id"))))
+    gone = written(gone.select(F.col("row").alias("gone")).distinct(), "jaccard-gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash(F.col(id_col), F.col(text_col)).alias("key"))
+    seen = filtered(rows, F.col("key"), gone, "gone")
+    stay = seen.where("maybe").join(gone, F.col("key") == F.col("gone"), "left_anti")
     return seen.where("not maybe").select("row.*").unionByName(stay.select("row.*"))

@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -82,17 +84,53 @@ def brute_components(rows, k, num, den):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize(("k", "num", "den", "group"), [(3, 90, 100, 8192), (5, 4, 5, 8192), (2, 1, 2, 2)])
-def test_join_equals_all_pairs(spark, docs, monkeypatch, k, num, den, group):
-    monkeypatch.setattr(jaccard, "GROUP", group)  # 2: groups are dealt out as pairs of blocks
+@pytest.mark.parametrize(("k", "num", "den", "block", "hot"), [(3, 90, 100, 1024, 128), (3, 90, 100, 8, 4), (5, 4, 5, 1024, 8), (2, 1, 2, 2, 2), (2, 1, 2, 3, 1000)])
+def test_join_equals_all_pairs(spark, docs, monkeypatch, k, num, den, block, hot):
+    monkeypatch.setattr(jaccard, "BLOCK", block)  # few: groups are dealt out as pairs of blocks
+    monkeypatch.setattr(jaccard, "HOT", hot)
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     base = "one two three four five six seven eight nine ten " * 3
     rows += [(10_000 + i, base + " ".join(f"w{j}" for j in range(60) if j != i) + (" x" if i % 3 else "")) for i in range(40)]
+    rows += [(11_000 + i, " ".join(f"v{j}" for j in range(i, i + 40))) for i in range(0, 60, 2)]  # a chain
     rows += [(20_001, None), (20_002, ""), (20_003, "a b"), (20_004, "A  B"), (20_005, "c")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), k, num, den).collect()}
     assert got == brute_components(rows, k, num, den)
 
 
+def test_ids_of_another_type_and_null_ids(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t"
+    rows = [("x", near), ("m", near + " u"), (None, near + " v"), (None, "all alone here"), (None, "two of us"), (None, "two of us"), ("k", "other words entirely")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.join(df, 3, 4, 5).collect()), key=str)
+    assert got == sorted([("x", "m"), ("m", "m"), (None, "m"), (None, None), (None, None), (None, None), ("k", "k")], key=str)
+    assert sorted((r.doc_id for r in jaccard.representatives(df, 3, 4, 5).collect()), key=str) == sorted(["m", None, None, None, "k"], key=str)
+
+
+def test_values_in_many_lists_are_merged_with_skips():
+    rnd = random.Random(5)
+    for _ in range(300):
+        lists = [sorted(rnd.sample(range(60), rnd.randint(0, 30))) for _ in range(rnd.randint(0, 12))]
+        times = Counter(v for m in lists for v in m)
+        for least in (1, 2, 3, 6):
+            assert list(jaccard.merge_skip(lists, least)) == sorted((v, n) for v, n in times.items() if n >= least)
+
+
+def test_each_list_is_merged_or_probed():
+    rnd = random.Random(6)
+    sets = [np.unique(np.array(rnd.sample(range(400), 100) + rnd.sample(range(400, 420), 18), np.uint64)) for _ in range(60)]
+    sets += [np.unique(np.concatenate([s[:-3], np.array([1000 + i], np.uint64)])) for i, s in enumerate(sets[:20])]
+    group = jaccard.Group(sets, 9, 10)
+    for x, s in enumerate(sets):
+        t = jaccard.required(len(s), 9, 10)
+        short, long, least = group.divided(x)
+        assert len(short) + len(long) == len(s) and least == t - len(long) >= 1
+        assert len(long) == jaccard.long_lists(t, int(group.length[long].max())) and group.length[short].max() <= group.length[long].min()
+        want = [y for y, o in enumerate(sets) if 10 * len(np.intersect1d(s, o)) >= 9 * len(np.union1d(s, o))]
+        assert sorted(group.partners(x)) == want
+    pairs = group.links()
+    assert len(pairs) == 20 and {b % 60 if b >= 60 else b for _, b in pairs} == set(range(20))
+
+
 def test_representatives(odd):
     kept = jaccard.representatives(odd, 3, 9, 10)
     assert kept.columns == odd.columns
