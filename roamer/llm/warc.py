@@ -194,10 +194,11 @@ def assemble(records: DataFrame) -> DataFrame:
         F.min(F.when(F.col("type") == "request", F.struct("id", "uri", "block_bytes"))).alias("request"),
         F.min_by(F.struct("id", "fields"), F.when(F.col("type") == "metadata", F.col("id"))).alias("metadata"),
     )
-    answers = records.where("type in ('response', 'revisit')").select(F.col("id").alias("capture_id"), "uri", "date", F.struct("type", "digest", "payload_bytes", "payload", "refers_to").alias("answer"))
+    answers = records.where("type in ('response', 'revisit')").select(F.col("id").alias("capture_id"), "uri", "date", "type", "digest", "payload_bytes", "payload", "refers_to")
     whole = answers.join(said, "capture_id", "left")
     url = F.coalesce(F.unbase64(F.col("metadata.fields")["url-base64"]).cast("string"), "uri")
-    return whole.select("capture_id", "uri", url.alias("url"), "date", "answer", "request", F.when(F.col("metadata.id").isNotNull(), F.col("metadata")).alias("metadata"))
+    answer = F.struct("type", "digest", "payload_bytes", "payload", "refers_to")  # after the join, so that columns nobody asks for aren't shuffled
+    return whole.select("capture_id", "uri", url.alias("url"), "date", answer.alias("answer"), "request", F.when(F.col("metadata.id").isNotNull(), F.col("metadata")).alias("metadata"))
 
 
 def round_trip(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
