@@ -21,32 +21,47 @@ shorter. A window counts if it meets in the first or the second form.
 * a window of slots only is compared by its words instead;
 * an item of fewer than five words is one window.
 
-The items of a block (``BLOCK_BYTES`` of text at most) are what each task
-holds; a larger benchmark is taken block by block, each against all documents.
-Documents are never shuffled.
+1. Of an item's W windows, ceil(0.8 W) must be covered, so a contaminated
+   document has one of any W - ceil(0.8 W) + 1 of them. The rarest ones among
+   the items are the item's probes.
+2. Documents are read once. A filter of the probes (``FILTER_BITS`` at most, whatever
+   the number of items) drops the documents without a probe; they are never shuffled.
+3. The others' windows are hash-joined with the probes in Spark, and the pairs of
+   document and item that this gives are aligned and checked on the whole texts.
+
+An occurrence is looked for around the diagonal (document place minus item
+place) on which most windows meet, then around the next one farther than half
+an item's length from it, and so on, among those with half as many windows or more
+as the fullest. Diagonals within an item's length of it are taken
+fullest first; a window counts if its slots agree with those taken before. Each
+further diagonal costs four windows, so the first one has a share of the windows
+needed, or there is no occurrence.
 
 Cases: null and empty texts have no windows and match nothing; an empty
 benchmark matches nothing; null ids are kept; items and documents that repeat
-are reported once each; other columns are carried along by ``clean``.
+are reported once for each row of ``docs``, items that repeat count once; ids may be of
+any type; other columns are carried along by ``clean``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamer.llm.kernels import LOWER, U64, blocks, folded, mix, word_hashes, words
-from roamer.llm.store import lean, short_batches
+from roamer.llm.store import BLOCK_BITS, bit_blocks, dropped, lean, row_hash, short_batches, without, written
 
 WINDOW = 5
 #: Consistent windows per 100 windows of an item.
 COVER = 80
-BLOCK_BYTES = 32 << 20
+#: log2 of the most bits of the probes' filter (32 MB), its bits for each probe and how many of them a probe sets.
+FILTER_BITS, BITS_A_PROBE, PROBE_BITS = 28, 32, 3
 
 #: Words for units of measure.
 UNITS = (
@@ -145,183 +160,272 @@ def windows(hashes: np.ndarray, kind: np.ndarray, k: int = WINDOW) -> np.ndarray
     return out
 
 
-class Items:
-    """The windows of a block of benchmark items."""
+class Form:
+    """A sequence of words and slots, to be found in documents."""
 
-    def __init__(self, ids: list, texts: pa.Array, k: int = WINDOW, cover: int = COVER) -> None:
-        self.ids = ids
-        forms, folds, owners = [], [], []
-        for _, data, offsets in blocks(texts):
-            h, t, bounds, goes_on = template(data, offsets)
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                forms.append((h[a:b], t[a:b]))
-                if (t[a:b] != NAME).all():
-                    continue
-                fold = lambda kind, on, a=a, b=b: runs(h[a:b], kind, np.array([0, b - a]), on)[:2]
-                both = [fold(t[a:b], goes_on[a:b])]
-                if b - a > 1 and t[a] == 0 and t[a + 1] == NAME:  # in mid-sentence, the first word may go on to the name
-                    both.append(fold(np.concatenate([[NAME], t[a + 1 : b]]).astype(np.int8), np.concatenate([[False, True], goes_on[a + 2 : b]])))
-                long = [f for f in both if len(f[0]) >= k]
-                folds += long
-                owners += [len(forms) - 1] * len(long)
-        self.words = Forms(forms, k, cover)
-        self.names, self.owners = Forms(folds, k, cover), owners
-
-    def matches(self, hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray, goes_on: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
-        """(text, item, covered windows, all windows, whether a slot differs) for each contaminated pair."""
-        found = {(d, i): rest for d, i, *rest in self.words.matches(hashes, kind, bounds)}
-        if self.owners:
-            for d, f, *rest in self.names.matches(*runs(hashes, kind, bounds, goes_on)):
-                found.setdefault((d, self.owners[f]), rest)
-        for (d, i), rest in sorted(found.items()):
-            yield d, i, *rest
-
-
-class Forms:
-    """Sequences of words and slots by their windows."""
-
-    def __init__(self, forms: list[tuple[np.ndarray, np.ndarray]], k: int, cover: int) -> None:
-        self.k, self.cover = k, cover
-        self.hashes, self.kind = [h for h, _ in forms], [t for _, t in forms]
-        size = lambda h: min(k, len(h))
-        self.windows = [windows(h, t, size(h)) if len(h) else np.empty(0, U64) for h, t in forms]
-        plain = [windows(h, nameless(t), size(h)) if len(h) else np.empty(0, U64) for h, t in forms]
-        differ = [np.flatnonzero(a != b) for a, b in zip(self.windows, plain, strict=True)]
+    def __init__(self, hashes: np.ndarray, kind: np.ndarray) -> None:
+        self.hashes, self.kind, self.k = hashes, kind, min(WINDOW, len(hashes))
+        self.typed, self.plain = windows(hashes, kind, self.k), windows(hashes, nameless(kind), self.k)
         # A document may hold an item in mid-sentence, where its first word, if capitalised, is a name.
-        begins = [windows(h[:k], np.concatenate([[NAME], t[1:k]]).astype(np.int8), size(h)) for h, t in forms if len(h)]
-        some = [i for i, h in enumerate(self.hashes) if len(h)]
-        values = np.concatenate([np.empty(0, U64), *self.windows, *[p[x] for p, x in zip(plain, differ, strict=True)], *begins])
+        self.begin = windows(hashes[: self.k], np.concatenate([[NAME], kind[1 : self.k]]).astype(np.int8), self.k)[0]
+        self.total = len(self.typed)
+
+    def variants(self) -> list[set[int]]:
+        """The window hashes that count for each place."""
+        found = [{int(a), int(b)} for a, b in zip(self.typed, self.plain, strict=True)]
+        found[0].add(int(self.begin))
+        return found
+
+
+def forms(text: str | None) -> tuple[list[Form], list[Form]]:
+    """(the item's words, its forms with every run of names as one): none or one, and none to two."""
+    own, folds = [], []
+    for _, data, offsets in blocks(pa.array([text], pa.string())):
+        h, t, _, goes_on = template(data, offsets)
+        if not len(h):
+            continue
+        own.append(Form(h, t))
+        if (t != NAME).all():
+            continue
+        fold = lambda kind, on: runs(h, kind, np.array([0, len(h)]), on)[:2]  # noqa: B023, E731
+        both = [fold(t, goes_on)]
+        if len(h) > 1 and t[0] == 0 and t[1] == NAME:  # in mid-sentence, the first word may go on to the name
+            both.append(fold(np.concatenate([[NAME], t[1:]]).astype(np.int8), np.concatenate([[False, True], goes_on[2:]])))
+        folds += [Form(*f) for f in both if len(f[0]) >= WINDOW]
+    return own, folds
+
+
+class Place:
+    """The windows of k words of one document, by hash."""
+
+    def __init__(self, hashes: np.ndarray, kind: np.ndarray, k: int) -> None:
+        self.hashes, self.kind = hashes, kind
+        self.typed, self.plain = windows(hashes, kind, k), windows(hashes, nameless(kind), k)
+        differ = np.flatnonzero(self.typed != self.plain)
+        values, at = np.concatenate([self.typed, self.plain[differ]]), np.concatenate([np.arange(len(self.typed)), differ])
         order = np.argsort(values, kind="stable")
-        self.values = values[order]
-        each = np.arange(len(forms))
-        self.item = np.concatenate([np.repeat(each, [len(w) for w in self.windows]), np.repeat(each, [len(x) for x in differ]), np.array(some, np.int64)]).astype(np.int64)[order]
-        self.place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(w)) for w in self.windows), *differ, np.zeros(len(some), np.int64)])[order]
-        self.lengths = sorted({size(h) for h in self.hashes if len(h)})
-
-    def matches(self, hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
-        """(text, form, covered windows, all windows, whether a slot differs) for each contaminated pair."""
-        met: dict[tuple[int, int], set[tuple[int, int]]] = {}
-        named = bool((kind == NAME).any())
-        for k in self.lengths:
-            typed = windows(hashes, kind, k)
-            if not len(typed) or not len(self.values):
-                continue
-            own, at = typed, np.arange(len(typed))
-            if named:
-                plain = windows(hashes, nameless(kind), k)
-                other = np.flatnonzero(plain != typed)
-                own, at = np.concatenate([typed, plain[other]]), np.concatenate([at, other])
-            left = np.searchsorted(self.values, own)
-            hit = np.flatnonzero(self.values[np.minimum(left, len(self.values) - 1)] == own)
-            doc = np.searchsorted(bounds, at[hit], "right") - 1
-            right = np.searchsorted(self.values, own[hit], "right")
-            for p, d, a, b in zip(at[hit].tolist(), doc.tolist(), left[hit].tolist(), right.tolist(), strict=True):
-                if p + k > bounds[d + 1]:
-                    continue
-                for x in range(a, b):
-                    i = int(self.item[x])
-                    if min(self.k, len(self.hashes[i])) == k:
-                        met.setdefault((d, i), set()).add((p, int(self.place[x])))
-        for (d, i), pairs in sorted(met.items()):
-            total = len(self.windows[i])
-            if 100 * len({q for _, q in pairs}) < self.cover * total:
-                continue
-            covered, changed = self._consistent(hashes, kind, i, pairs)
-            if 100 * covered >= self.cover * total:
-                yield d, i, covered, total, changed
-
-    def _consistent(self, hashes: np.ndarray, kind: np.ndarray, i: int, pairs: set[tuple[int, int]]) -> tuple[int, bool]:
-        """The most item windows that one occurrence covers consistently, and whether its slots differ from the item's.
-
-        Diagonals are taken longest first; a window counts if its slots agree with those taken before.
-        An occurrence starts from each diagonal that could still cover enough.
-        """
-        k = min(self.k, len(self.hashes[i]))
-        diagonals: dict[int, list[int]] = {}
-        for p, q in pairs:
-            diagonals.setdefault(p - q, []).append(q)
-        by_size = sorted(diagonals, key=lambda g: (-len(diagonals[g]), g))
-        best = (0, False)
-        span = len(self.hashes[i])
-        for lead in by_size[:1] + [g for g in by_size[1:] if len(diagonals[g]) * 2 >= len(diagonals[by_size[0]])]:
-            there: dict[tuple[int, int], int] = {}
-            back: dict[tuple[int, int], int] = {}
-            covered, changed = set(), False
-            for g in [lead] + [g for g in by_size if g != lead and abs(g - lead) <= span]:
-                for q in sorted(diagonals[g]):
-                    slots = [(int(t), int(self.hashes[i][r]), int(hashes[g + r])) for r in range(q, q + k) if (t := kind[g + r] or self.kind[i][r])]
-                    if all(there.get((t, u), v) == v and back.get((t, v), u) == u for t, u, v in slots):
-                        for t, u, v in slots:
-                            there[t, u], back[t, v] = v, u
-                            changed |= u != v
-                        covered.add(q)
-            best = max(best, (len(covered), changed))
-            if best[0] == len(self.windows[i]):
+        self.values, self.at = values[order], at[order]
+
+    def places(self, hashes: set[int]) -> np.ndarray:
+        found = []
+        for v in hashes:
+            a, b = (int(np.searchsorted(self.values, U64(v), side)) for side in ("left", "right"))
+            found.append(self.at[a:b])
+        return np.unique(np.concatenate(found))
+
+
+def occurrence(form: Form, doc: Place, cover: int = COVER) -> tuple[int, bool] | None:
+    """(covered windows, whether a slot differs) of the best occurrence of a form, if it covers enough.
+
+    Work and memory grow with the product of the lengths at most, in steps over arrays.
+    """
+    total, last = form.total, len(doc.typed)
+    counts, some = np.zeros(total + last, np.int32), 0
+    for q, hashes in enumerate(form.variants()):
+        at = doc.places(hashes)
+        counts[at - q + total - 1] += 1
+        some += len(at) > 0
+    if not some or 100 * some < cover * total:
+        return None
+    top = int(counts.max())
+    span = len(form.hashes)
+
+    def met(g: int) -> np.ndarray:
+        """The item's places whose window meets on a diagonal."""
+        a, b = max(0, -g), min(total, last - g)
+        own, names = (x[a + g : b + g] for x in (doc.typed, doc.plain))
+        hit = (own == form.typed[a:b]) | (own == form.plain[a:b]) | (names == form.typed[a:b]) | (names == form.plain[a:b])
+        if a == 0 and b > 0 and form.begin in (own[0], names[0]):
+            hit[0] = True
+        return np.flatnonzero(hit) + a
+
+    def agree(g: int, places: np.ndarray, there: dict, back: dict) -> tuple[list[int], bool]:
+        """Those places whose slots agree with the ones before, and whether a slot differs; the slots are taken."""
+        words = np.unique((places[:, None] + np.arange(form.k)).ravel())
+        types = np.where(doc.kind[words + g] > 0, doc.kind[words + g], form.kind[words])
+        is_slot = types > 0
+        if not is_slot.any():
+            return places.tolist(), False
+        own = words[is_slot]
+        slots = list(zip(types[is_slot].tolist(), form.hashes[own].tolist(), doc.hashes[own + g].tolist(), strict=True))
+        bad = np.zeros(len(form.hashes) + 1, np.int32)
+        bad[own + 1] = [there.get((t, u), v) != v or back.get((t, v), u) != u for t, u, v in slots]
+        bad = np.cumsum(bad)
+        slots = dict(zip(own.tolist(), slots, strict=True))
+        fits, changed = [], False
+        for q in places[bad[places + form.k] == bad[places]].tolist():  # the others disagree with what was taken on other diagonals
+            some_ = [slots[r] for r in range(q, q + form.k) if r in slots]
+            new, gone = {(t, u): v for t, u, v in some_}, {(t, v): u for t, u, v in some_}
+            if all(new[t, u] == v == there.get((t, u), v) and gone[t, v] == u == back.get((t, v), u) for t, u, v in some_):
+                there |= new
+                back |= gone
+                changed |= any(u != v for _, u, v in some_)
+                fits.append(q)
+        return fits, changed
+
+    leads = np.flatnonzero(counts * 2 >= top) - total + 1
+    leads = leads[np.lexsort((np.abs(leads), -counts[leads + total - 1]))]
+    need = -(-cover * total // 100)
+    least = -(-need // ((total - need) // max(1, form.k - 1) + 1))  # a break between diagonals costs k - 1 windows
+    best = (0, True)
+    while len(leads):
+        lead = int(leads[0])
+        leads = leads[np.abs(leads - lead) * 2 > span]
+        there, back, covered, changed = {}, {}, set(), False
+        near = np.arange(max(lead - span, 1 - total), min(lead + span, last - 1) + 1)
+        near = near[counts[near + total - 1] > 0]
+        near = near[np.lexsort((near, -counts[near + total - 1], near != lead))]
+        for g in near.tolist():
+            places = met(g)
+            places = places[[q not in covered for q in places.tolist()]] if covered else places
+            if len(places):
+                fits, differs = agree(g, places, there, back)
+                covered.update(fits)
+                changed |= differs
+            if len(covered) == some or len(covered) < least:  # nothing is left to cover, or the first one is too poor
                 break
-        return best
-
-
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[tuple[list, pa.Array]]:
-    """The items in blocks of about ``size`` bytes of text; one block is on the driver at a time."""
-    rows = benchmark.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).distinct()
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // size)
-    for b in range(n):
-        found = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b).orderBy("id", "text").collect()
-        yield [r[0] for r in found], pa.array([r[1] for r in found], pa.string())
-
-
-def _pairs(ids: list, texts: pa.Array) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(ids, texts)
-        for batch in batches:
-            out = []
-            for first, data, offsets in blocks(batch.column(1)):
-                out += [(first + d, *rest) for d, *rest in items.matches(*template(data, offsets))]
-            yield pa.record_batch(
-                [
-                    batch.column(0).take(pa.array([x[0] for x in out], pa.int64())),
-                    pa.array([items.ids[x[1]] for x in out], pa.int64()),
-                    pa.array([x[2] for x in out], pa.int64()),
-                    pa.array([x[3] for x in out], pa.int64()),
-                    pa.array([x[4] for x in out], pa.bool_()),
-                ],
-                names=["id", "item_id", "n_matched", "n_windows", "reparameterised"],
-            )
-
-    return run
+        best = max(best, (len(covered), not changed))
+        if best[0] == some and best[1]:
+            break
+    return (best[0], not best[1]) if 100 * best[0] >= cover * total else None
+
+
+def matched(text: str | None, items: list[tuple[list[Form], list[Form]]]) -> list[tuple[int, int, int, bool]]:
+    """(item, covered windows, all windows, whether a slot differs) of the items that contaminate a text."""
+    found = []
+    for _, data, offsets in blocks(pa.array([text], pa.string())):
+        h, t, bounds, goes_on = template(data, offsets)
+        folded_h, folded_t, _ = runs(h, t, bounds, goes_on)
+        known: dict[tuple[bool, int], Place] = {}
+        for i, (own, folds) in enumerate(items):
+            for is_fold, form in [(False, f) for f in own] + [(True, f) for f in folds]:
+                words, kinds = (folded_h, folded_t) if is_fold else (h, t)
+                if len(words) < form.k:
+                    continue
+                if (is_fold, form.k) not in known:
+                    known[is_fold, form.k] = Place(words, kinds, form.k)
+                if best := occurrence(form, known[is_fold, form.k]):
+                    found.append((i, best[0], form.total, best[1]))
+                    break
+    return found
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, form, place, total, k, key) of every window of the items."""
+    for batch in batches:
+        rows = []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own, folds = forms(text)
+            for f, form in enumerate(own + folds):
+                rows += [(item, f, q, form.total, form.k, key) for q, keys in enumerate(form.variants()) for key in sorted(keys)]
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        signed = np.array(columns[5], U64).astype(np.int64)
+        yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(signed)], names=["item", "form", "place", "total", "k", "key"])
+
+
+def probes(items: DataFrame, cover: int = COVER) -> DataFrame:
+    """(key, item, k): the window hashes of which a document contaminated by the item has one at least."""
+    held = written(items.select("item", "text").mapInArrow(lean(_item_windows), "item long, form long, place long, total long, k long, key long"), "decontam-windows")
+    often = held.groupBy("key").agg(F.count_distinct("item").alias("items"))
+    each = held.join(often, "key").groupBy("item", "form", "place", "total").agg(F.sum("items").alias("items"), F.collect_set(F.struct("key", "k")).alias("keys"))
+    rank = F.row_number().over(Window.partitionBy("item", "form").orderBy("items", "place"))  # within one item
+    enough = F.col("total") - F.floor((F.col("total") * cover + 99) / 100) + 1
+    chosen = each.withColumn("rank", rank).where(F.col("rank") <= enough)
+    found = written(chosen.select("item", F.explode("keys").alias("x")).select("x.key", "item", "x.k").distinct(), "decontam-probes")
+    dropped(held)
+    return found
+
+
+def _filter(found: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """(bits as 64-bit words, lengths of the windows) of the probes: at most 2^FILTER_BITS bits come to the driver."""
+    size = max(15, min(FILTER_BITS, (found.count() * BITS_A_PROBE).bit_length()))
+    bit = lambda i: F.shiftright("key", 12 * i).bitwiseAND(F.lit((1 << size) - 1))
+    bits = found.select(F.explode(F.array(*[bit(i) for i in range(PROBE_BITS)])).alias("at"))
+    words = np.zeros(1 << (size - 6), U64)
+    for block, own in bit_blocks(bits.select((F.col("at") / F.lit(BLOCK_BITS)).cast("long").alias("block"), (F.col("at") % BLOCK_BITS).alias("bit"))).collect():
+        words[block * 512 : block * 512 + 512] = np.array(own, np.int64).view(U64)
+    return words, sorted(r[0] for r in found.select("k").distinct().collect())
+
+
+def may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each key."""
+    out, mask = np.ones(len(keys), bool), len(words) * 64 - 1
+    for i in range(PROBE_BITS):
+        at = (keys.view(np.int64) >> np.int64(12 * i)) & np.int64(mask)
+        place = (56 - ((at >> 3) & 7) * 8 + (at & 7)).astype(U64)
+        out &= (words[at >> 6] >> place) & U64(1) > 0
+    return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document and item (of long type) that contaminates it: id, item_id, n_matched, n_windows, reparameterised."""
-    short_batches(docs.sparkSession)
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    columns = f"id {docs.schema[id_col].dataType.simpleString()}, item_id long, n_matched long, n_windows long, reparameterised boolean"
-    found = None
-    for ids, texts in _item_blocks(benchmark, item_col, item_text, block):
-        part = plain.mapInArrow(lean(_pairs(ids, texts)), columns)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], columns)
-    return found.withColumnRenamed("id", id_col)
-
-
-def _kept(ids: list, texts: pa.Array) -> Callable:
+def _hits(words: np.ndarray, lengths: list[int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(ids, texts)
         for batch in batches:
-            keep = np.ones(len(batch), bool)
+            rows, hits = [], []
             for first, data, offsets in blocks(batch.column(1)):
-                keep[[first + d for d, *_ in items.matches(*template(data, offsets))]] = False
-            yield pa.record_batch([batch.column(0).filter(pa.array(keep))], names=["row"])
+                h, t, bounds, goes_on = template(data, offsets)
+                found: dict[int, set[int]] = {}
+                for words_, kinds, ends in ((h, t, bounds), runs(h, t, bounds, goes_on)):
+                    for k in lengths:
+                        typed = windows(words_, kinds, k)
+                        plain = windows(words_, nameless(kinds), k) if (kinds == NAME).any() else typed
+                        for keys in (typed, plain) if plain is not typed else (typed,):
+                            at = np.flatnonzero(may_hold(words, keys))
+                            doc = np.searchsorted(ends, at, "right") - 1
+                            inside = at + k <= ends[doc + 1]
+                            for d, v in zip(doc[inside].tolist(), keys[at[inside]].view(np.int64).tolist(), strict=True):
+                                found.setdefault(d, set()).add(v)
+                    if not goes_on.any():
+                        break
+                for d in sorted(found):
+                    rows.append(first + d)
+                    hits.append(sorted(found[d]))
+            at = pa.array(rows, pa.int64())
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(hits, pa.list_(pa.int64()))], names=["id", "text", "row", "hits"])
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, with all their columns."""
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = lru_cache(maxsize=4096)(forms)
+    for batch in batches:
+        rows, out, ids = [], [], []
+        for i, (text, items) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            items = items.as_py()
+            for at, *rest in matched(text.as_py(), [known(x["text"]) for x in items]):
+                rows.append(i)
+                out.append(rest)
+                ids.append(items[at]["id"])
+        at = pa.array(rows, pa.int64())
+        kind = batch.column(3).type.value_type.field("id").type
+        yield pa.record_batch(
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(ids, kind), *(pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.bool_())))],
+            names=["id", "row", "item_id", "n_matched", "n_windows", "reparameterised"],
+        )
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """(id, row, item_id, n_matched, n_windows, reparameterised) of each contaminated row and item."""
     short_batches(docs.sparkSession)
-    for ids, texts in _item_blocks(benchmark, item_col, item_text, block):
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-        docs = rows.mapInArrow(lean(_kept(ids, texts)), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
-    return docs
+    items = benchmark.select(F.col(item_col).alias("id"), F.coalesce(item_text, F.lit("")).alias("text")).distinct()
+    items = written(items.select(F.monotonically_increasing_id().alias("item"), "id", "text"), "decontam-items")
+    keys = probes(items)
+    words, lengths = _filter(keys)
+    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), row_hash(F.col(id_col), F.col(text_col)).alias("row"))
+    kind, item_kind = plain.schema["id"].dataType.simpleString(), items.schema["id"].dataType.simpleString()
+    some = plain.mapInArrow(lean(_hits(words, lengths)), f"id {kind}, text string, row long, hits array<long>")
+    some = written(some.select(F.monotonically_increasing_id().alias("num"), "id", "text", "row", "hits"), "decontam-hits")
+    pairs = some.select("num", F.explode("hits").alias("key")).join(keys, "key").select("num", "item").distinct()
+    each = written(pairs.join(items, "item").groupBy("num").agg(F.collect_list(F.struct("id", "text")).alias("items")), "decontam-pairs")
+    ready = some.select("num", "id", "row", "text").join(each, "num").select("id", "row", "text", "items")
+    return ready.mapInArrow(lean(_checked), f"id {kind}, row long, item_id {item_kind}, n_matched long, n_windows long, reparameterised boolean")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document and item that contaminates it: id, item_id, n_matched, n_windows, reparameterised."""
+    return _found(docs, benchmark, id_col, text_col, item_col, item_text).drop("row").withColumnRenamed("id", id_col)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, with all their columns; only rows that a filter can't keep are shuffled."""
+    gone = written(_found(docs, benchmark, id_col, text_col, item_col, item_text).select(F.col("row").alias("gone")).distinct(), "decontam-gone")
+    return without(docs, gone, id_col, text_col)

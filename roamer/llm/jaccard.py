@@ -47,10 +47,10 @@ from pyspark.sql import functions as F
 
 from roamer.llm.components import components
 from roamer.llm.kernels import U64, mix, shingle_sets
-from roamer.llm.store import dropped, filtered, lean, short_batches, written
+from roamer.llm.store import dropped, filtered, lean, row_hash, short_batches, without, written
 
 #: Classes and shingles of a block; two blocks are searched together.
-BLOCK, WEIGHT = 1024, 1 << 21
+BLOCK, WEIGHT = 512, 1 << 21
 #: From so many documents on, a hub is compared with them before groups are formed.
 HOT = 128
 #: Cost of merging a list against probing it, as in DivideSkip's L = T / (MU log2 M + 1), M the longest list.
@@ -274,11 +274,6 @@ def _search(num: int, den: int, k: int):
     return run
 
 
-def row_hash(id_: Column, text: Column) -> Column:
-    """What a row is found again by: a hash of its id and text."""
-    return F.xxhash64(F.coalesce(text, F.lit("")), id_)
-
-
 def _linked(plain: DataFrame, classes: DataFrame, jobs: DataFrame, num: int, den: int, k: int) -> DataFrame:
     """Links (a, b) that the jobs find: (i, j) and for each class num, comp and side; texts are shuffled once to a row of jobs."""
     wanted = jobs.groupBy("num").agg(F.collect_list(F.struct("i", "j", "comp", "side")).alias("jobs"))
@@ -391,7 +386,4 @@ def representatives(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     """
     gone = _components(docs, k, num, den, id_col, text_col).where(F.col("component").isNotNull() & (F.col("id").isNull() | (F.col("component") < F.col("id"))))
     gone = written(gone.select(F.col("row").alias("gone")).distinct(), "jaccard-gone")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash(F.col(id_col), F.col(text_col)).alias("key"))
-    seen = filtered(rows, F.col("key"), gone, "gone")
-    stay = seen.where("maybe").join(gone, F.col("key") == F.col("gone"), "left_anti")
-    return seen.where("not maybe").select("row.*").unionByName(stay.select("row.*"))
+    return without(docs, gone, id_col, text_col)

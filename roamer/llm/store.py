@@ -114,6 +114,19 @@ def filtered(df: DataFrame, key: Column, members: DataFrame, column: str, into:
     return probed(df, key, filter_of(members, column, blocks), blocks, into)
 
 
+def row_hash(id_: Column, text: Column) -> Column:
+    """What a row is found again by: a hash of its id and text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), id_)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs``, all columns, whose row hash isn't in the written table ``gone`` (gone); most pass without a shuffle."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash(F.col(id_col), F.col(text_col)).alias("key"))
+    seen = filtered(rows, F.col("key"), gone, "gone")
+    stay = seen.where("maybe").join(gone, F.col("key") == F.col("gone"), "left_anti")
+    return seen.where("not maybe").select("row.*").unionByName(stay.select("row.*"))
+
+
 #: Words of 64 slots for each key of a repeat filter's table, and the most words: one bit each is broadcast, 64 MB a table.
 KEYS_A_WORD, MOST_WORDS, TABLES = 2, 1 << 29, 2
 

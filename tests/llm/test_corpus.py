@@ -84,7 +84,7 @@ def brute_components(rows, k, num, den):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize(("k", "num", "den", "block", "hot"), [(3, 90, 100, 1024, 128), (3, 90, 100, 8, 4), (5, 4, 5, 1024, 8), (2, 1, 2, 2, 2), (2, 1, 2, 3, 1000)])
+@pytest.mark.parametrize(("k", "num", "den", "block", "hot"), [(3, 90, 100, 512, 128), (3, 90, 100, 8, 4), (5, 4, 5, 512, 8), (2, 1, 2, 2, 2), (2, 1, 2, 3, 1000)])
 def test_join_equals_all_pairs(spark, docs, monkeypatch, k, num, den, block, hot):
     monkeypatch.setattr(jaccard, "BLOCK", block)  # few: groups are dealt out as pairs of blocks
     monkeypatch.setattr(jaccard, "HOT", hot)
