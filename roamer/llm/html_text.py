@@ -12,13 +12,17 @@
    is taken without them.
 
 Text comes from the article: the outermost ``article`` elements, else ``main``,
-else an element named as content, else the body. Template goes there, prose or
+else an element named as content, else the body; of these the first that has at
+least half as much prose as the richest one. Articles whose text is mostly links are
+teasers and go if there is another one; so do articles in a ``main`` element chosen
+before them. Template goes there, prose or
 not; only in an ``article`` element nothing but recurring containers without a
 paragraph or heading of prose goes, so an article's own passages stay however
 often they recur. Elements that are never an article's text (``DROPPED``) and
-elements named as menus, sidebars, notices, adverts, forms or comments
-(``NAMED``) always go; in an ``article`` element, the id of a section of prose
-isn't such a name (``id="related-work"``).
+elements named as menus, sidebars, notices, adverts, forms or comments always go. A
+name is a whole token of class or id whose words are all in ``NAMED`` or ``AROUND``,
+one at least in ``NAMED``: ``ad-slot`` and ``site-footer``, but not ``form-factor`` or
+``related-work``; in an ``article`` element, the id of a section of prose isn't a name.
 
 Block elements end a block; inside a block white space becomes one space and
 the ends are trimmed; blocks are joined by a line feed. Character references
@@ -48,7 +52,7 @@ PAGES = 5
 
 # Element names and words of class, id and role attributes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("head title script style noscript template iframe object embed svg canvas math nav header footer aside form button select option textarea input label fieldset dialog menu audio video map".split())
+DROPPED = set("head title script style noscript template iframe object embed svg canvas annotation annotation-xml nav header footer aside form button select option textarea input label fieldset dialog menu audio video map".split())
 CONTAINERS = set("div section nav header footer aside ul ol dl table form menu details figure center main".split())
 BLOCKS = CONTAINERS | set("html body article p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre address figcaption hr hgroup search summary legend".split())
 PARTS = set("html body td th tr thead tbody tfoot dt dd caption figcaption legend summary hr".split())
@@ -61,6 +65,11 @@ NAMED = set(
     "comment comments commentlist disqus respond reply replies discussion "
     "share sharing social related recommended recommendations pagination pager toolbar skip hidden search searchbox form".split()
 )
+AROUND = set(
+    "site page main global top bottom left right upper lower inner outer sticky fixed floating mobile desktop primary secondary "
+    "bar box block area wrapper wrap container holder panel list item items section slot unit row column col group content links link buttons button icons icon "
+    "text body title heading message module component element policy thread count form post entry article user reader by for and the my our js".split()
+)
 CONTENT = set("article post entry content story main body text maincontent articlebody postbody postcontent entrycontent storybody".split())
 ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
@@ -162,10 +171,25 @@ def _signed(key: int) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
+def _words(token: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(token)]
+
+
 def _names(said: dict[str, str]) -> set[str]:
     """The words of class and id, without those that a modifier like has- introduces."""
-    text = _MODIFIED.sub(" ", f"{said.get('class', '')} {said.get('id', '')}")
-    return {w.lower() for w in _WORD.findall(text)}
+    return set(_words(_MODIFIED.sub(" ", f"{said.get('class', '')} {said.get('id', '')}")))
+
+
+def _named(text: str) -> bool:
+    """Whether a token is a name of what isn't the article; a title or body with the header of an article is none."""
+    for token in _MODIFIED.sub(" ", text).split():
+        words = set(_words(token))
+        strong = words & NAMED
+        if words & {"article", "post", "entry", "section"} or len(words) > 1 and words & {"title", "heading", "text", "content"}:
+            strong -= {"header", "masthead"}
+        if strong and words <= NAMED | AROUND:
+            return True
+    return False
 
 
 def _holds_prose(node: Node) -> bool:
@@ -180,9 +204,11 @@ def unwanted(node: Node, in_article: bool = False) -> bool:
     said = node.attributes()
     if said.get("role", "").lower() in ROLES or "hidden" in said or said.get("aria-hidden") == "true":
         return True
-    if node.tag in ("html", "body", "main") or node.tag in PROSE or not _names(said) & NAMED:
+    if node.tag in ("html", "body", "main") or node.tag in PROSE:
         return False
-    return not (in_article and node.tag in ("section", "div") and not _names({"class": said.get("class", "")}) & NAMED and _holds_prose(node))
+    if _named(said.get("class", "")):
+        return True
+    return _named(said.get("id", "")) and not (in_article and node.tag in ("section", "div") and _holds_prose(node))
 
 
 def _outermost(root: Node, wanted: Callable[[Node], bool]) -> list[Node]:
@@ -198,12 +224,38 @@ def _outermost(root: Node, wanted: Callable[[Node], bool]) -> list[Node]:
     return found
 
 
-def regions(root: Node) -> list[Node]:
-    """Where the main text is."""
-    for wanted in (lambda x: x.tag == "article", lambda x: x.tag == "main" or "role" in x.said and x.attributes().get("role") == "main", lambda x: x.tag in ("div", "section", "td") and bool(x.said) and bool(_names(x.attributes()) & CONTENT)):
-        if found := _outermost(root, wanted):
-            return found
-    return []
+def _lengths(node: Node, skip: set[int] = frozenset()) -> tuple[int, int, int]:
+    """Characters of wanted text, of those in prose, and of those in links."""
+    whole = prose = links = 0
+    stack = [(node, False, False)]
+    while stack:
+        x, in_prose, in_link = stack.pop()
+        if isinstance(x, str):
+            n = len("".join(x.split()))
+            whole, prose, links = whole + n, prose + n * in_prose, links + n * in_link
+        elif x is node or not (id(x) in skip or unwanted(x)):
+            stack += [(c, in_prose or x.tag in PROSE, in_link or x.tag == "a") for c in x.children]
+    return whole, prose, links
+
+
+def regions(root: Node) -> tuple[list[Node], set[int]]:
+    """Where the main text is, and what in it goes as teasers."""
+    articles = _outermost(root, lambda x: x.tag == "article")
+    if len(articles) > 1:
+        sizes = [_lengths(x) for x in articles]
+        own = [x for x, (whole, _, links) in zip(articles, sizes, strict=True) if 2 * links < whole]
+        articles = own or articles
+    mains = _outermost(root, lambda x: x.tag == "main" or "role" in x.said and x.attributes().get("role") == "main")
+    inside = {id(x) for x in articles}
+    named = [] if articles or mains else _outermost(root, lambda x: x.tag in ("div", "section", "td") and bool(x.said) and bool(_names(x.attributes()) & CONTENT))
+    if not mains:
+        return articles or named, set()
+    if not articles:
+        return mains, set()
+    prose = lambda where, skip=frozenset(): sum(_lengths(x, skip)[1] for x in where)
+    if 2 * prose(articles) >= prose(mains, {id(x) for m in mains for x in _every(m) if x.tag == "article"}):
+        return articles, set()
+    return mains, {id(x) for m in mains for x in _every(m) if x.tag == "article"} | inside
 
 
 def candidates(root: Node, where: list[Node]) -> Iterator[Node]:
@@ -227,13 +279,13 @@ def subtrees(html: str | None) -> dict[int, bool]:
     """Hashes of a page's elements that can be template, with whether the page's text would lose one."""
     root = parsed(html)
     hashed(root)
-    where = regions(root)
+    where, teasers = regions(root)
     shown: set[int] = set()
     for top in where or [root]:
         stack, in_article = [top], top.tag == "article"
         while stack:
             x = stack.pop()
-            if x is not top and unwanted(x, in_article):
+            if x is not top and (id(x) in teasers or unwanted(x, in_article)):
                 continue
             if removable(x, in_article):
                 shown.add(id(x))
@@ -248,7 +300,7 @@ def subtrees(html: str | None) -> dict[int, bool]:
 def main_text(html: str | None, template: set[int]) -> str:
     """The main text of a page without the elements of these hashes."""
     root = parsed(html)
-    where = regions(root)
+    where, teasers = regions(root)
     gone: set[int] = set()
     if template:
         hashed(root)
@@ -272,7 +324,7 @@ def main_text(html: str | None, template: set[int]) -> str:
                 line.append(x)
             elif x.tag == "br":
                 line.append(" ")
-            elif x is top or not (unwanted(x, in_article) or (id(x) in gone and removable(x, in_article))):
+            elif x is top or not (id(x) in teasers or unwanted(x, in_article) or (id(x) in gone and removable(x, in_article))):
                 if x.tag in BLOCKS:
                     end()
                     stack.append(None)

@@ -247,6 +247,42 @@ def test_page_cases():
     assert html_text.main_text("plain &lt; text <p>p1<p>p2<script>x<y", set()) == "plain < text\np1\np2"
 
 
+def test_whole_names_regions_and_formulas():
+    story = "<p>A story that goes on for a good while, line by line.</p>"
+    inside = '<article><h1>T</h1><section id="related-work"><p>Older work.</p></section><div class="form-factor"><p>Small.</p></div><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>.</p>{}</article>'
+    gone = '<div class="comments"><p>First!</p></div><div class="ad-slot">Buy</div><aside>a</aside><div id="comment-list"><ul><li>me too</li></ul></div><div class="cookie-notice">c</div><div class="siteFooter">f</div>'
+    for more in ("", gone):
+        assert html_text.main_text(f"<body>{inside.format(more)}</body>", set()) == "T\nOlder work.\nSmall.\nSo x=2."
+    assert html_text.main_text(f"<body><main><h1>Head</h1>{story}<article><h3>card one</h3></article></main></body>", set()) == "Head\nA story that goes on for a good while, line by line."
+    teaser = '<article class="card"><a href="/x"><h3>Another story</h3></a></article>'
+    assert html_text.main_text(f"<body><article>{story}</article>{teaser * 3}</body>", set()) == "A story that goes on for a good while, line by line."
+    assert html_text.main_text("<body><main><article><p>one two</p></article><article><p>three four</p></article></main></body>", set()) == "one two\nthree four"
+    assert html_text.main_text('<body><article><div class="article-header"><h1>Title</h1></div><p>x</p></article></body>', set()) == "Title\nx"
+
+
+def test_templates_equal_counting_by_hand(spark):
+    rnd = random.Random(4)
+    parts = ["<div class='x{0}'><p>Welcome to part {0}</p></div>", "<ul><li>Menu {0}</li><li>Home</li></ul>", "<div><span>Shop {0}</span> <a>Top</a></div>", "<p>Notice {0}</p>"]
+    rows = []
+    for host, size in (("hot", 150), ("mid", 20), ("few", 4), ("one", 1)):
+        for i in range(size):
+            own = [rnd.choice(parts).format(rnd.randrange(8)) for _ in range(rnd.randrange(4))] + [f"<p>Own text {host} {i}</p>"]
+            rnd.shuffle(own)
+            rows.append((len(rows), f"https://user@{host.upper()}:80/{i}", "<body>" + "".join(own) + "</body>"))
+    rows += [(5000 + i, "http://mid/", rows[150][2]) for i in range(50)]  # copies count once
+    held = defaultdict(lambda: defaultdict(set))
+    for _, u, h in rows:
+        name = re.search(r"//(?:user@)?([A-Za-z]+)", u)[1].lower()
+        for key, shown in html_text.subtrees(h).items():
+            held[name][key].add((h, shown))
+    want = {}
+    for i, u, h in rows:
+        name = re.search(r"//(?:user@)?([A-Za-z]+)", u)[1].lower()
+        want[i] = html_text.main_text(h, {k for k, pages in held[name].items() if len({x for x, _ in pages}) >= html_text.PAGES and any(s for _, s in pages)})
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want and any("Welcome" in t for t in got.values()) and got[3].startswith("Own text") and "Menu" not in got[3]
+
+
 def test_templates_of_a_host_go(spark):
     def page(i):
         return f"<body><div><span>Our shop</span></div><div><p>Text {i} of its own, long enough to tell.</p></div><div><a>Top</a> <a>Home</a></div></body>"
