@@ -6,11 +6,13 @@ marks are joined, and blank lines, copyright lines, list items and titles are
 sentences of their own. A sentence is normalised: ASCII lower case, every
 run of other characters than letters and digits is one space, a copyright line
 is cut to ``copyright notice``,
-and phrases that put a work under a licence are cut to ``under``. The normalised sentence is looked up in the
+phrases that put a work under a licence are cut to ``under``, and a pointer to the
+licence file at the end is cut off. The normalised sentence is looked up in the
 table of known licence sentences and becomes its identifier. A rule is an
 ordered list of identifiers; it applies where the identifiers of one cut hold
 it as a subsequence; ``FOLDS`` are identifiers in a row that count as one. The
-licences of all rules that apply are reported.
+licences of all rules that apply are reported. An SPDX expression (``MIT OR
+Apache-2.0``) refers to each licence in it; what follows ``WITH`` is an exception.
 
 ``sql`` has the first two cuts and the sentences and rules of ``TEXTS`` and
 ``NAMES`` only; the scan also has the third cut, ``NOTICES``, ``FOLDS`` and
@@ -52,6 +54,7 @@ NAMES = {
     "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
 }
 REFERENCE = "^(this (work|software|project|file|program|code|document|library) is )?(licensed|released|distributed|available|published) under (the terms of )?(the |a |an )?"
+POINTER = " see (the |)(licen[cs]e|copying)( md| txt|)( file|)( for (more |)(details|information)|)$"
 COPYRIGHT = "^(c )?copyright( .*)?$"
 TEXTS = {
     "rights-reserved": "All rights reserved.",
@@ -122,7 +125,7 @@ PARAGRAPHS = [
 def normal(sentence: str) -> str:
     """The normal form of a sentence; ``_normal`` is the same for columns."""
     s = re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip(" ")
-    return re.sub(REFERENCE, "under ", re.sub(COPYRIGHT, "copyright notice", s))
+    return re.sub(POINTER, "", re.sub(REFERENCE, "under ", re.sub(COPYRIGHT, "copyright notice", s)))
 
 
 def sentences() -> dict[str, str]:
@@ -140,6 +143,11 @@ def notices() -> dict[str, str]:
     for gnu, name in GNU.items():
         known |= {normal(f"{you} redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation"): f"terms-{gnu}" for you in ("you can", "you may")}
     known |= {normal(text.format(v)): f"version-{v}" for _, v in VERSIONS.values() for text in LATER}
+    for spdx in [*NAMES, *VERSIONS]:
+        known |= {normal(f"SPDX-License-Identifier={spdx}{more}"): f"ref-{spdx}" for more in ("", "-only", "-or-later", "+")}
+        if spdx.startswith("CC-BY"):
+            place = f"creativecommons.org/licenses/{spdx[3:-4].lower()}/{spdx[-3:]}"
+            known |= {normal(f"To view a copy of this license, visit {scheme}{place}{end}"): f"ref-{spdx}" for scheme in ("http://", "https://") for end in ("", "/legalcode")}
     return known
 
 
@@ -150,7 +158,7 @@ def rules() -> list[tuple[str, list[str]]]:
 
 def _normal(s: Column) -> Column:
     plain = F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    return F.regexp_replace(F.regexp_replace(plain, COPYRIGHT, "copyright notice"), REFERENCE, "under ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, COPYRIGHT, "copyright notice"), REFERENCE, "under "), POINTER, "")
 
 
 def _identifiers(text: Column, known: Column) -> Column:
@@ -161,6 +169,14 @@ def _identifiers(text: Column, known: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.concat(F.lit(","), i, F.lit(";"))), "")
 
 
+def _expressions(text: Column, known: Column) -> Column:
+    """``,id;,id;`` of the licences in SPDX expressions of two operands or more."""
+    lines = F.filter(F.regexp_extract_all(text, F.lit(r"spdx-license-identifier *: *([^\n\r]*)"), F.lit(1)), lambda e: e.rlike(r"[ )](or|and|with)[ (]|\("))
+    operands = F.flatten(F.transform(lines, lambda e: F.split(F.regexp_replace(e, r" +with +[^ ()]+", ""), r"[()]| +(?:or|and)(?= |\()")))
+    ids = F.transform(operands, lambda o: F.element_at(known, _normal(F.concat(F.lit("spdx-license-identifier="), F.trim(F.regexp_replace(o, r"[^a-z0-9.+ -]", " "))))))
+    return F.array_join(F.transform(F.filter(ids, lambda i: i.isNotNull()), lambda i: F.concat(F.lit(","), i, F.lit(";"))), "")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_sentences (recognised line by line), licenses (sorted, joined by a comma)."""
     known = F.create_map(*[F.lit(x) for kv in (notices() | sentences()).items() for x in kv])
@@ -169,9 +185,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     for a in ANCHORS:
         has = has | F.contains("text", F.lit(a))
     ids = lambda t: F.when(has, _identifiers(F.regexp_replace(t, HOLDERS, ONE_HOLDER), known)).otherwise("")
-    cut = raw.select("id", ids(F.col("text")).alias("lines"), ids(F.regexp_replace("text", r"[ \t\r]*\n[ \t\r]*", " ")).alias("joined"), ids(_paragraphs(F.col("text"))).alias("paragraphs"))
+    cut = raw.select("id", ids(F.col("text")).alias("lines"), ids(F.regexp_replace("text", r"[ \t\r]*\n[ \t\r]*", " ")).alias("joined"), ids(_paragraphs(F.col("text"))).alias("paragraphs"), F.when(F.contains("text", F.lit("spdx-license-identifier")), _expressions(F.col("text"), known)).otherwise("").alias("expressions"))
     size = F.length("lines") - F.length(F.replace("lines", F.lit(";"), F.lit("")))
-    cut = cut.select("id", size.cast("long").alias("n"), *[_folded(F.col(c)).alias(c) for c in ("lines", "joined", "paragraphs")])
+    cut = cut.select("id", size.cast("long").alias("n"), *[_folded(F.col(c)).alias(c) for c in ("lines", "joined")], _folded(F.concat("paragraphs", "expressions")).alias("paragraphs"))
     found = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("rule")) for name, pattern in _patterns(rules() + NOTICE_RULES)])
     like = lambda r: F.call_function("like", F.col("lines"), r.rule) | F.call_function("like", F.col("joined"), r.rule) | F.call_function("like", F.col("paragraphs"), r.rule)
     matched = F.transform(F.filter(found, like), lambda r: r["name"])
@@ -203,7 +219,7 @@ def sql() -> str:
     patterns = ", ".join(f"({q(n)}, {q(p)})" for n, p in _patterns())
     each = lambda t: (
         f"list_transform(list_filter(list_transform(string_split(regexp_replace(regexp_replace({t}, '(spdx-license-identifier) *: *', '\\1=', 'g'), '([.!?;:])[ \\t\\r\\n]+', '\\1\n', 'g'), chr(10)), "
-        f"lambda s: known[regexp_replace(regexp_replace(trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')), {q(COPYRIGHT)}, 'copyright notice'), {q(REFERENCE)}, 'under ')]), "
+        f"lambda s: known[regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')), {q(COPYRIGHT)}, 'copyright notice'), {q(REFERENCE)}, 'under '), {q(POINTER)}, '')]), "
         "lambda i: i IS NOT NULL), lambda i: ',' || i || ';')"
     )
     return f"""

@@ -312,6 +312,16 @@ def test_pipeline(spark, sf, docs):
     assert set(got) == left and all(got[d].decoded_sha256 == hashlib.sha256(whole[d].encode()).hexdigest() and len(got[d].ids) == got[d].n_tokens for d in left)
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, sf, odd, tmp_path):
+    for name, table in (("odd", odd), ("empty", odd.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        items = spark.read.parquet(f"{sf}/benchmark.parquet")
+        (items if name == "odd" else items.limit(0)).write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()]
+    assert sorted(got, key=str) == sorted([3, 4, 5, 6, 7, 8, None], key=str)  # 9 differs from 8 in case and space only
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_templates_of_any_kind_and_share_go(spark):
     def main(i):
         return f'<body><main><div class="x1"><p>Site notice</p></div><p>Own text {i}.</p></main></body>'

@@ -344,3 +344,32 @@ def test_case_line_breaks_and_longer_names(spark):
     got = {r.doc_id: (r.n_matched == r.n_windows, r.reparameterised) for r in decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect()}
     assert {d: c for d, (_, c) in got.items()} == {0: False, 1: False, 2: False, 3: False, 4: True, 5: True, 6: False}
     assert all(got[d][0] for d in (0, 1, 2, 3))
+
+
+def test_expressions_pointers_and_deeds(spark):
+    deed = "This work is licensed under the Creative Commons {} 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/{}/4.0/."
+    kinds = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nd": "Attribution-NoDerivatives"}
+    cases = [
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", "Apache-2.0,MIT"),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note OR BSD-3-Clause) AND ISC */", "BSD-3-Clause,GPL-2.0,ISC"),
+        ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("# SPDX-License-Identifier: LGPL-2.1+", "LGPL-2.1"),
+        ("SPDX-License-Identifier: MITRE OR Unknown-1.0", ""), ("We like MIT or Apache-2.0.", ""),
+        ("This project is licensed under the MIT license - see the LICENSE file for details.", "MIT"),
+        ("This project is licensed under the Apache License 2.0; see LICENSE.md", "Apache-2.0"),
+        ("See the LICENSE file for details.", ""),
+        *((deed.format(name, short), f"CC-{short.upper()}-4.0") for short, name in kinds.items()),
+        ("To view a copy of this license, visit https://creativecommons.org/licenses/by-sa/4.0/legalcode", "CC-BY-SA-4.0"),
+        ("To view a copy of this picture, visit https://creativecommons.org/licenses/by-sa/4.0/", ""),
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_odd_rows_have_the_licences_of_sql(odd):
+    import duckdb
+
+    rows = odd.select("doc_id", "text").where("doc_id is not null").toPandas()
+    c = duckdb.connect()
+    c.register("documents", rows)
+    want = sorted(c.execute(licenses.sql()).fetchall())
+    assert sorted(tuple(r) for r in licenses.scan(odd).where("doc_id is not null").select("doc_id", "n_sentences", "licenses").collect()) == want
