@@ -209,7 +209,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose text is in a language: predicted, with a score above ``least``."""
+    """The rows of ``docs`` whose text is in a language: predicted, with a score of ``least`` or more."""
     prototypes = learned(docs.where(~is_held_out(F.col(id_col))), lang_col, text_col)
     found = predict(docs, prototypes, docs.columns, text_col)
-    return found.where((F.col("lang") != "und") & (F.col("score") > least)).select("row.*")
+    return found.where((F.col("lang") != "und") & (F.col("score") >= least)).select("row.*")
