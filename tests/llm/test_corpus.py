@@ -318,7 +318,7 @@ def test_pipeline_of_odd_and_empty_tables(spark, sf, odd, tmp_path):
         items = spark.read.parquet(f"{sf}/benchmark.parquet")
         (items if name == "odd" else items.limit(0)).write.parquet(str(tmp_path / name / "benchmark.parquet"))
     got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()]
-    assert sorted(got, key=str) == sorted([3, 4, 5, 6, 7, 8, None], key=str)  # 9 differs from 8 in case and space only
+    assert sorted(got, key=str) == sorted([3, 4, 5, 6, 7, None], key=str)  # the words of 8 and 9 are those of 3
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
 
 
