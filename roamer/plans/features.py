@@ -228,11 +228,14 @@ def a29_rectangles(spark, sf):
     return annotate.rectangles(trips(spark, sf)).select("uid", *[r(c) for c in ("bottom", "lft", "top", "rgt")])
 
 
-@query(RECT_SQL + "SELECT a.uid, b.uid AS other, NOT (a.rgt < b.lft OR b.rgt < a.lft OR a.top < b.bottom OR b.top < a.bottom) AS overlaps, abs((a.top - a.bottom) * (a.rgt - a.lft) - (b.top - b.bottom) * (b.rgt - b.lft)) < 3 * least((a.top - a.bottom) * (a.rgt - a.lft), (b.top - b.bottom) * (b.rgt - b.lft)) AS alike FROM rect a JOIN rect b ON a.uid % 10 = b.uid % 10 AND a.uid < b.uid")
+@query(
+    RECT_SQL
+    + "SELECT a.uid, b.uid AS other, "
+    + "abs((a.top - a.bottom) * (a.rgt - a.lft) - (b.top - b.bottom) * (b.rgt - b.lft)) < 3 * least((a.top - a.bottom) * (a.rgt - a.lft), (b.top - b.bottom) * (b.rgt - b.lft)) AS alike "
+    + "FROM rect a JOIN rect b ON a.uid < b.uid AND NOT (a.rgt < b.lft OR b.rgt < a.lft OR a.top < b.bottom OR b.top < a.bottom)"
+)
 def p07_p08_overlap_and_likeness(spark, sf):
-    a = annotate.rectangles(trips(spark, sf)).withColumn("g", F.col("uid") % 10)
-    b = a.select("g", F.col("uid").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("bottom", "lft", "top", "rgt")])
-    return a.join(b, "g").where("uid < other").select("uid", "other", annotate.overlaps().alias("overlaps"), annotate.alike().alias("alike"))
+    return annotate.overlapping(annotate.rectangles(trips(spark, sf))).select("uid", "other", annotate.alike().alias("alike"))
 
 
 @query(None)

@@ -1,6 +1,8 @@
 """Queries and operators that cover all of their input."""
 
-from roamer.operators import locations, spatial
+import random
+
+from roamer.operators import annotate, locations, spatial
 from roamer.plans import all_queries, electric
 
 
@@ -28,3 +30,15 @@ def test_nearest_places_at_any_distance(spark):
         got.setdefault(r.id, []).append(r.id2)
     assert {k: len(v) for k, v in got.items()} == {1: 3, 2: 3, 3: 3} and got[1][:2] == [1, 2] and got[2][0] == 4 and got[3][0] == 5
     assert {(r.id, r.id2) for r in spatial.within(a, b, 3000).collect()} == {(2, 4), (3, 5)}
+
+
+def test_rectangles_of_any_size_meet_once(spark):
+    rnd = random.Random(2)
+    rows = []
+    for i in range(60):
+        y, x, size = rnd.uniform(-4, 4), rnd.uniform(-4, 4), rnd.choice([0.0, 0.01, 0.6, 3.0])
+        rows.append((i, y, x, y + size, x + size * rnd.random()))
+    rows += [(60, 0.5, 0.5, 1.0, 1.0), (61, 1.0, 1.0, 1.5, 1.5), (62, -90.0, -180.0, 90.0, 180.0)]  # a shared corner, the whole world
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and not (a[4] < b[2] or b[4] < a[2] or a[3] < b[1] or b[3] < a[1])}
+    got = [(r.uid, r.other) for r in annotate.overlapping(spark.createDataFrame(rows, "uid long, bottom double, lft double, top double, rgt double")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (60, 61) in want
