@@ -77,14 +77,28 @@ def location_entropy(from_to: DataFrame) -> DataFrame:
     return stats.entropy(next_counts(from_to), ["uid", "lid"])
 
 
+def covered(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, minute, n): how many spans (keys, a, b) of whole minutes, both included, cover each minute of the day; one with a > b goes past midnight.
+
+    Spans become steps up and down, summed before the shuffle; a key then has at most 1,441 steps, and only
+    minutes of the result are made into rows.
+    """
+    step = lambda at, by: F.struct(at.cast("int").alias("minute"), F.lit(by).alias("by"))
+    a, b = F.col("a"), F.col("b")
+    ends = [step(a, 1), step(b + 1, -1)]
+    steps = F.when(a <= b, F.array(*ends)).otherwise(F.array(*ends, step(F.lit(0), 1), step(F.lit(1440), -1)))
+    summed = spans.select(*keys, F.explode(steps).alias("s")).groupBy(*keys, F.col("s.minute").alias("at")).agg(F.sum("s.by").alias("by"))
+    w = Window.partitionBy(*keys).orderBy("at")
+    runs = summed.select(*keys, "at", F.sum("by").over(w).alias("n"), F.lead("at").over(w).alias("until")).where("n > 0")
+    return runs.select(*keys, F.explode(F.sequence(F.col("at"), F.col("until") - 1)).alias("minute"), "n")
+
+
 def stay_minutes(located: DataFrame) -> DataFrame:
     """How many stays of a location cover each minute of the day: from an arrival to the location's next end, wrapping once past midnight."""
     w = Window.partitionBy("uid", "lid").orderBy("t", "pid")
     s = located.select("uid", "lid", "kind", "t", F.lead("t").over(w).alias("leave")).where("kind = 't' and leave is not null")
     a, b = (F.floor(F.pmod(c, F.lit(clock.DAY)) / 60).cast("int") for c in (F.col("t"), F.col("leave")))
-    s = s.select("uid", "lid", a.alias("a"), b.alias("b"))
-    minutes = F.when(F.col("a") <= F.col("b"), F.sequence("a", "b")).otherwise(F.concat(F.sequence(F.lit(0), F.col("b")), F.sequence(F.col("a"), F.lit(1439))))
-    return s.select("uid", "lid", F.explode(minutes).alias("minute")).groupBy("uid", "lid", "minute").agg(F.count(F.lit(1)).alias("n"))
+    return covered(s.select("uid", "lid", a.alias("a"), b.alias("b")), ["uid", "lid"])
 
 
 def stay_shares(minutes: DataFrame) -> DataFrame:
@@ -97,7 +111,7 @@ def travel_minutes(from_to: DataFrame, trips: DataFrame) -> DataFrame:
     t = from_to.join(trips.select("uid", "tid", "start_ts", "end_ts"), ["uid", "tid"])
     m = lambda c: F.floor(F.pmod(F.col(c), F.lit(clock.DAY)) / 60).cast("int")
     t = t.select("uid", "loc_from", "loc_to", m("start_ts").alias("a"), m("end_ts").alias("b")).where("a <= b")
-    return t.select("uid", "loc_from", "loc_to", F.explode(F.sequence("a", "b")).alias("minute")).groupBy("uid", "loc_from", "loc_to", "minute").agg(F.count(F.lit(1)).alias("n"))
+    return covered(t, ["uid", "loc_from", "loc_to"])
 
 
 def stays(from_to: DataFrame, trips: DataFrame) -> DataFrame:

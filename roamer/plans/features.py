@@ -261,7 +261,9 @@ def f18_f19_a03_scaling(spark, sf):
 def f17_f21_text_and_quartiles(spark, sf):
     e = table(spark, sf, "events")
     colour = F.concat(F.lit("#"), F.lpad(F.hex((F.col("user_id") % 256).cast("int")), 2, "0"), F.lit("00ff"))
-    return e.select("event_id", F.lower("event_type").isin("click", "view").alias("flag"), F.concat_ws(";", "event_type", "user_id").alias("joined"), colour.alias("colour"), F.ntile(4).over(Window.orderBy("value", "event_id")).alias("quarter"))
+    e = stats.ranked(e.select("event_id", "event_type", "user_id", "value"), "value", "event_id")
+    quarter = stats.tile(F.col("rank"), table(spark, sf, "events").count(), 4)
+    return e.select("event_id", F.lower("event_type").isin("click", "view").alias("flag"), F.concat_ws(";", "event_type", "user_id").alias("joined"), colour.alias("colour"), quarter.alias("quarter"))
 
 
 @query(WITH_HISTORY + "SELECT uid, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, (min(k) || '')::VARCHAR AS k FROM history GROUP BY uid")

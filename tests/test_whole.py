@@ -1,8 +1,12 @@
 """Queries and operators that cover all of their input."""
 
 import random
+from collections import Counter
 
-from roamer.operators import annotate, locations, spatial
+from pyspark.sql import functions as F
+
+from roamer.functions import stats
+from roamer.operators import annotate, locations, movements, spatial
 from roamer.plans import all_queries, electric
 
 
@@ -42,3 +46,29 @@ def test_rectangles_of_any_size_meet_once(spark):
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and not (a[4] < b[2] or b[4] < a[2] or a[3] < b[1] or b[3] < a[1])}
     got = [(r.uid, r.other) for r in annotate.overlapping(spark.createDataFrame(rows, "uid long, bottom double, lft double, top double, rgt double")).collect()]
     assert len(got) == len(set(got)) and set(got) == want and (60, 61) in want
+
+
+def test_ranks_and_tiles_with_ties_and_nulls(spark):
+    rnd = random.Random(3)
+    values = [None] * 7 + [5.0] * 150 + [rnd.choice([1.0, 2.5, rnd.random()]) for _ in range(246)]
+    rnd.shuffle(values)
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v double")
+    got = {r.id: r.rank for r in stats.ranked(df, "v", "id", parts=10).collect()}
+    order = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0.0, i))
+    assert got == {i: n + 1 for n, i in enumerate(order)}
+    for rows in (0, 1, 3, 4, 10, 403):
+        want = [q + 1 for q in range(4) for _ in range(rows // 4 + (q < rows % 4))]
+        tiles = spark.range(1, rows + 1).select("id", stats.tile(F.col("id"), rows, 4).alias("q")).orderBy("id").collect()
+        assert [r.q for r in tiles] == want
+    empty = df.limit(0)
+    assert stats.ranked(empty, "v", "id").count() == 0
+
+
+def test_minutes_covered(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(3), rnd.randrange(1440), rnd.randrange(1440)) for _ in range(60)] + [(9, 0, 1439), (9, 700, 699), (8, 1439, 0), (8, 5, 5)]
+    want = Counter()
+    for k, a, b in rows:
+        want.update((k, m) for m in (range(a, b + 1) if a <= b else [*range(b + 1), *range(a, 1440)]))
+    got = [((r.k, r.minute), r.n) for r in movements.covered(spark.createDataFrame(rows, "k int, a int, b int"), ["k"]).collect()]
+    assert len(got) == len(want) and dict(got) == want
