@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from roamer.functions import stats
-from roamer.operators import annotate, locations, movements, spatial
+from roamer.operators import annotate, locations, movements, risk, spatial
 from roamer.plans import all_queries, electric
 
 
@@ -72,3 +72,45 @@ def test_minutes_covered(spark):
         want.update((k, m) for m in (range(a, b + 1) if a <= b else [*range(b + 1), *range(a, 1440)]))
     got = [((r.k, r.minute), r.n) for r in movements.covered(spark.createDataFrame(rows, "k int, a int, b int"), ["k"]).collect()]
     assert len(got) == len(want) and dict(got) == want
+
+
+def test_areas_are_those_of_one_pass_over_all_vehicles(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(150):
+        y, x, size = rnd.uniform(-1.2, 1.2), rnd.uniform(-1.2, 1.2) + rnd.choice([0, 20]), rnd.choice([0.3, 0.5, 1.1])
+        rows.append((i, y, x, y + size, x + size * rnd.uniform(0.5, 1)))
+    rows.append((150, -5.0, -170.0, -4.0, -169.0))
+    size = {r[0]: (r[3] - r[1]) * (r[4] - r[2]) for r in rows}
+    groups = []
+    for a in rows:
+        fits = lambda b: not (a[4] < b[2] or b[4] < a[2] or a[3] < b[1] or b[3] < a[1]) and abs(size[a[0]] - size[b[0]]) < 3 * min(size[a[0]], size[b[0]])  # noqa: E731, B023
+        home = next((g for g in groups if sum(map(fits, g)) / len(g) > 0.75), None)
+        groups.append([a]) if home is None else home.append(a)
+    got = {}
+    for r in annotate.areas(spark.createDataFrame(rows, "uid long, bottom double, lft double, top double, rgt double")).collect():
+        got.setdefault((r.region, r.area), set()).add(r.uid)
+    assert sorted(map(sorted, got.values())) == sorted([b[0] for b in g] for g in groups) and len({k[0] for k in got}) >= 3
+    assert any(len({(b[2] + b[4]) // 2 for b in g}) > 1 for g in groups)  # areas across degree lines
+
+
+def test_new_minority_rows_lie_between_nearest_neighbours(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.uniform(0, 100), rnd.choice([0.0, 1.0, rnd.random()]), int(i % 5 == 0)) for i in range(203)]
+    df = spark.createDataFrame(rows, "uid long, a double, b double, crash int")
+    few = [r for r in rows if r[3]]
+    lo, hi = min(r[1] for r in rows), max(r[1] for r in rows)
+    x = {r[0]: (r[1] / (hi - lo), r[2]) for r in few}
+    d = lambda p, q: round((x[p][0] - x[q][0]) ** 2 + (x[p][1] - x[q][1]) ** 2, 9)
+    scaled = spark.createDataFrame([(k, list(v)) for k, v in x.items()], "key long, x array<double>")
+    got = {(r.key, r.place): r.other for r in risk.neighbours(scaled, 5, 4).collect()}
+    for p in x:
+        assert [d(p, got[p, i]) for i in range(5)] == sorted(d(p, q) for q in x if q != p)[:5] and len({got[p, i] for i in range(5)} - {p}) == 5
+    out = risk.oversampled(df, ["a", "b"], block=10).collect()
+    assert len(out) == 2 * (len(rows) - len(few)) and sum(r.crash for r in out) == len(out) // 2
+    by = {r[0]: (r[1], r[2]) for r in few}
+    on = lambda r, p, q: abs((by[q][0] - by[p][0]) * (r.b - by[p][1]) - (by[q][1] - by[p][1]) * (r.a - by[p][0])) < 1e-6 and min(by[p][0], by[q][0]) - 1e-9 <= r.a <= max(by[p][0], by[q][0]) + 1e-9
+    fresh = [r for r in out if r.crash and (r.a, r.b) not in set(by.values())]
+    assert fresh and all(any(on(r, p, q) for (p, _), q in got.items()) for r in fresh)
+    alone = spark.createDataFrame([(1, 1.0, 1.0, 1), (2, 2.0, None, 0), (3, 3.0, 1.0, 0)], df.schema)
+    assert risk.oversampled(alone, ["a", "b"]).count() == 3 and risk.oversampled(alone.limit(0), ["a", "b"]).count() == 0
