@@ -62,12 +62,12 @@ def rectangle_area(bottom: Column, left: Column, top: Column, right: Column) ->
     return (top - bottom) * (right - left)
 
 
-def grid_cell(lon: Column, lat: Column, metres: float, widest_lat: float = 70.0) -> tuple[Column, Column]:
-    """Cell numbers so that points within ``metres`` lie in the same or neighbouring cells, up to a latitude."""
-    import math
-
-    step = math.degrees(metres / METRES) * 1.0001
-    return F.floor(lon / (step / math.cos(math.radians(widest_lat)))).cast("long"), F.floor(lat / step).cast("long")
+def region_of(lon: Column, lat: Column, regions: list[tuple[str, float, float, float, float]]) -> Column:
+    """Name of the first of a few rectangles (name, bottom, left, top, right) that holds the point, borders included; null if none."""
+    found = F.lit(None).cast("string")
+    for name, bottom, left, top, right in reversed(regions):
+        found = F.when(lat.between(bottom, top) & lon.between(left, right), name).otherwise(found)
+    return found
 
 
 def sql_distance(lon1: str, lat1: str, lon2: str, lat2: str, radius: float = METRES) -> str:

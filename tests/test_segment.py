@@ -106,8 +106,3 @@ def test_battery_bounds_routes():
     g = {0: [(1, 1.0, 5.0)], 1: [(2, 1.0, 5.0)]}
     assert set(ev.search(g, 0, 8, 10, 0.1)[0]) == {0, 1}
     assert set(ev.search(g, 0, 12, 12, 0.1)[0]) == {0, 1, 2}
-
-
-def test_charge_plans():
-    assert ev.charge_plan([10, 20, 30], 38) == [10.0, 20.0]
-    assert ev.charge_plan([10, 20, 10], 38, partial=True) == [0.0, 10.0]
