@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roamer.functions import clock, stats
+from roamer.functions import clock, geo, stats
+from roamer.operators import tripdist
+
+#: More periods than any history has months.
+PERIODS = 100000
 
 
 def trip_locations(located: DataFrame) -> DataFrame:
@@ -33,6 +38,59 @@ def movement_features(from_to: DataFrame, trips: DataFrame) -> DataFrame:
     return out
 
 
+def prototypes(from_to: DataFrame, points: DataFrame) -> DataFrame:
+    """(uid, loc_from, loc_to, tid): the trip of each movement with the least sum of synchronised distances to its others, ties
+    by the smallest tid; of fewer than three trips, or where no sum is finite, the first by start.
+
+    A task holds the trips of one user's movement; no pair of trips leaves it.
+    """
+    trip = F.array_sort(F.collect_list(F.struct("seq", "lon", "lat", F.col("t").cast("double").alias("ts"))))
+    ways = points.groupBy("uid", "tid").agg(trip.alias("way")).join(from_to.select("uid", "tid", "loc_from", "loc_to"), ["uid", "tid"])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        trips = sorted(([(z["lon"], z["lat"], z["ts"]) for z in w], int(i)) for i, w in zip(pdf["tid"], pdf["way"], strict=True))
+        trips.sort(key=lambda x: (x[0][0][2], x[1]))
+        best = trips[0][1]
+        if len(trips) > 2:
+            total = dict.fromkeys((i for _, i in trips), 0.0)
+            for k, (a, i) in enumerate(trips):
+                for b, j in trips[k + 1 :]:
+                    d = tripdist.synchronised(a, b)
+                    total[i], total[j] = total[i] + d, total[j] + d
+            finite = {i: round(d, 6) for i, d in total.items() if np.isfinite(d)}
+            best = min(finite, key=lambda i: (finite[i], i)) if finite else best
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in ("uid", "loc_from", "loc_to")} | {"tid": [best]})
+
+    return ways.groupBy("uid", "loc_from", "loc_to").applyInPandas(one, "uid long, loc_from int, loc_to int, tid int")
+
+
+def leave_arrive(located: DataFrame, trips: DataFrame) -> DataFrame:
+    """Per location, kind of end (f leaves, t arrives), weekend and day or night: mean and deviation of the second of the day
+    and of the trips' duration and length, and the count."""
+    e = located.join(trips.select("uid", "tid", "duration", "length_km"), ["uid", "tid"])
+    e = e.withColumns({"weekend": clock.weekend(F.col("t")), "part": clock.day_night(F.col("t")), "second": clock.second_of_day(F.col("t"))})
+    aggs = [f(c).alias(f"{n}_{c}") for c in ("second", "duration", "length_km") for n, f in (("avg", F.avg), ("std", F.stddev_pop))]
+    return e.groupBy("uid", "lid", "kind", "weekend", "part").agg(F.count(F.lit(1)).alias("n"), *aggs)
+
+
+def centre_distances(centres: DataFrame) -> DataFrame:
+    """The matrix of each user's centres (uid, lid, lon, lat), a row a pair: Euclidean in degrees and spherical in metres."""
+    b = centres.select("uid", F.col("lid").alias("other"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    c = [F.col(x) for x in ("lon", "lat", "lon2", "lat2")]
+    return centres.join(b, "uid").select("uid", "lid", "other", geo.euclidean(*c).alias("degrees"), geo.spherical_distance(*c).alias("metres"))
+
+
+def in_periods(trips: DataFrame, months: int) -> DataFrame:
+    """Trips whose ``uid`` stands for a user in a period of so many months from 1970 on, so that networks are made by period; ``user_and_period`` gives both back."""
+    at = F.timestamp_seconds("start_ts")
+    period = F.floor(((F.year(at) - 1970) * 12 + F.month(at) - 1) / months)
+    return trips.withColumn("uid", F.col("uid") * PERIODS + period)
+
+
+def user_and_period(df: DataFrame) -> DataFrame:
+    return df.withColumns({"period": F.pmod("uid", F.lit(PERIODS)), "uid": F.floor(F.col("uid") / PERIODS)})
+
+
 def support(located: DataFrame) -> DataFrame:
     return located.groupBy("uid", "lid").agg(F.count(F.lit(1)).alias("support"))
 

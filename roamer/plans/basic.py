@@ -43,6 +43,16 @@ def s05_user_points(spark, sf):
     return history(spark, sf).where("uid = 3").select(r("lon"), r("lat"), "t").orderBy("t")
 
 
+@query(WITH_HISTORY + "SELECT uid, t, event_id, record_type FROM history ORDER BY t, event_id LIMIT 1")
+def s06_first_document(spark, sf):
+    return history(spark, sf).select("uid", "t", "event_id", "record_type").orderBy("t", "event_id").limit(1)
+
+
+@query(WITH_HISTORY + "SELECT uid, t, event_id, record_type FROM history WHERE uid = 3 ORDER BY t, event_id LIMIT 1")
+def s11_first_document_of_a_user(spark, sf):
+    return history(spark, sf).where("uid = 3").select("uid", "t", "event_id", "record_type").orderBy("t", "event_id").limit(1)
+
+
 @query(WITH_HISTORY + "SELECT uid, count(*) AS n FROM history GROUP BY uid ORDER BY n DESC, uid LIMIT 10")
 def s07_top_users(spark, sf):
     return tables.top_users(history(spark, sf), 10)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roamer.functions import geo
+from roamer.functions import geo, stats
 from roamer.operators import graph, locations, movements
 from roamer.plans.basic import EVENTS_SQL, trip_events
-from roamer.plans.registry import WITH_TRIPS, query, r, trips
+from roamer.plans.registry import SQL, WITH_TRIPS, points, query, r, trips
 
 LINK = 200.0
 
@@ -229,3 +229,74 @@ def k17_s15_imn_documents(spark, sf):
     from roamer.plans.imn import documents
 
     return documents(trips(spark, sf), located(spark, sf), trip_events(spark, sf))
+
+
+@query(None)
+def k14_prototypes(spark, sf):
+    return movements.prototypes(from_to(spark, sf), points(spark, sf))
+
+
+@query(
+    L
+    + """, x AS (SELECT e.*, duration, length_km, t % 86400 AS second FROM located e JOIN trips USING (uid, tid))
+SELECT uid, lid, kind, (t // 86400 + 3) % 7 >= 5 AS weekend, CASE WHEN second > 28800 AND second <= 68400 THEN 'day' ELSE 'night' END AS part, count(*) AS n, """
+    + ", ".join(f"round({f}({c}), 5) AS {n}_{c}" for c in ("second", "duration", "length_km") for n, f in (("avg", "avg"), ("std", "stddev_pop")))
+    + " FROM x GROUP BY ALL"
+)
+def a32_leave_and_arrive(spark, sf):
+    x = movements.leave_arrive(located(spark, sf), trips(spark, sf))
+    return x.select("uid", "lid", "kind", "weekend", "part", "n", *[r(f"{a}_{c}", 5) for c in ("second", "duration", "length_km") for a in ("avg", "std")])
+
+
+@query(L + ", c AS (SELECT uid, lid, avg(lon) AS lon, avg(lat) AS lat FROM located GROUP BY 1, 2) SELECT uid, a.lid, b.lid AS other, round(sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)), 9) AS degrees, round(" + geo.sql_distance("a.lon", "a.lat", "b.lon", "b.lat") + ", 3) AS metres FROM c a JOIN c b USING (uid)")
+def f05_centre_distances(spark, sf):
+    centres = located(spark, sf).groupBy("uid", "lid").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    return movements.centre_distances(centres).select("uid", "lid", "other", r("degrees", 9), r("metres", 3))
+
+
+@query(f"SELECT uid, lid, weekend, round((day + night) / 2.0, 6) AS seconds FROM ({SQL['a30_a31_day_night_stays']})")
+def p16_averaged_stays(spark, sf):
+    x = movements.day_night_seconds(movements.stays(*both(spark, sf)))
+    return stats.averaged(x, {"seconds": ["day", "night"]}).withColumn("seconds", F.round("seconds", 6))
+
+
+CHAINS = [{"purity": (0.2, 0.4), "entropy": (0.7, 1.1), "n_loc": (10, 80)}, {"purity": (0.3, 0.6), "entropy": (0.5, 0.9)}, {"purity": (0.9, 1.1), "n_loc": (1000, 2000)}]
+
+
+@query(
+    f"WITH p AS (SELECT * FROM ({SQL['a25_purity']}) JOIN (SELECT uid, count(*) AS n_loc FROM ({SQL['k11_k12_k13_a07_locations']}) GROUP BY uid) USING (uid)) "
+    + " UNION ALL ".join(f"SELECT {i} AS chain, min(uid) AS uid FROM p WHERE " + " AND ".join(f"{x} > {a} AND {x} < {b}" for x, (a, b) in c.items()) + " HAVING count(*) > 0" for i, c in enumerate(CHAINS))
+)
+def p11_threshold_chains(spark, sf):
+    e = located(spark, sf)
+    p = a25_purity(spark, sf).join(e.groupBy("uid").agg(F.count(F.lit(1)).alias("n_loc")), "uid")
+    return graph.chosen(p, CHAINS)
+
+
+@query(
+    L
+    + """, x AS (SELECT lid % 6 AS a, pid % 4 AS b FROM located), j AS (SELECT a, b, count(*) AS n FROM x GROUP BY 1, 2), ta AS (SELECT a, sum(n)::BIGINT AS na FROM j GROUP BY 1), tb AS (SELECT b, sum(n)::BIGINT AS nb FROM j GROUP BY 1), tt AS (SELECT sum(n)::BIGINT AS t FROM j),
+k AS (SELECT na, nb, t, unnest(range(greatest(1, na + nb - t), least(na, nb) + 1)) AS k FROM ta, tb, tt),
+em AS (SELECT sum(k / t * ln(t::DOUBLE * k / (na::DOUBLE * nb)) * exp(lgamma(na + 1) + lgamma(nb + 1) + lgamma(t - na + 1) + lgamma(t - nb + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(na - k + 1) - lgamma(nb - k + 1) - lgamma(t - na - nb + k + 1))) AS e FROM k),
+mi AS (SELECT sum(n / t * ln(n::DOUBLE * t / (na::DOUBLE * nb))) AS mi FROM j JOIN ta USING (a) JOIN tb USING (b), tt),
+ha AS (SELECT -sum(na / t * ln(na / t)) AS ha FROM ta, tt), hb AS (SELECT -sum(nb / t * ln(nb / t)) AS hb FROM tb, tt)
+SELECT round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami FROM mi, em, ha, hb"""
+)
+def k21_adjusted_mutual_information(spark, sf):
+    x = located(spark, sf).select((F.col("lid") % 6).alias("a"), (F.col("pid") % 4).alias("b"))
+    return graph.adjusted_mutual_information(x).select(r("ami"))
+
+
+PERIOD = "((year(make_timestamp(start_ts * 1000000)) - 1970) * 12 + month(make_timestamp(start_ts * 1000000)) - 1) // 2"
+
+
+@query(
+    WITH_TRIPS
+    + f", pt AS (SELECT * REPLACE (uid * 100000 + {PERIOD} AS uid) FROM trips)"
+    + LOCATED_SQL.replace("FROM trips)", "FROM pt)").replace("JOIN trips USING", "JOIN pt USING")
+    + ", e AS (SELECT DISTINCT uid, loc_from AS a, loc_to AS b FROM ft), n AS (SELECT uid, count(*) AS nodes FROM (SELECT uid, a AS v FROM e UNION SELECT uid, b FROM e) GROUP BY 1), m AS (SELECT uid, count(*) AS edges FROM e GROUP BY 1) SELECT uid // 100000 AS uid, uid % 100000 AS period, nodes, edges FROM n JOIN m USING (uid)"
+)
+def e21_two_month_networks(spark, sf):
+    t = movements.in_periods(trips(spark, sf), 2)
+    ft = movements.trip_locations(locations.by_linkage(locations.endpoints(t), LINK))
+    return movements.user_and_period(movements.graph_summary(ft)).select("uid", "period", "nodes", "edges")

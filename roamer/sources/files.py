@@ -63,3 +63,36 @@ def charging_stations(spark: SparkSession, path: str, provinces: list[str]) -> D
     """id, lat, lon, connections of the stations in the given provinces, from a JSON export."""
     j = spark.read.option("multiLine", True).schema("ID long, AddressInfo struct<StateOrProvince: string, Latitude: double, Longitude: double>, Connections array<struct<LevelID: int, PowerKW: double>>").json(path)
     return j.where(F.lower("AddressInfo.StateOrProvince").isin([p.lower() for p in provinces])).select(F.col("ID").alias("id"), F.col("AddressInfo.Latitude").alias("lat"), F.col("AddressInfo.Longitude").alias("lon"), F.col("Connections").alias("connections"))
+
+
+def road_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes (id, data), edges (u, v, data)) of a GraphML file or folder; data maps attribute names to text."""
+    data = "data array<struct<_key: string, _VALUE: string>>"
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    keys = read("key", "_id string, `_attr.name` string, _VALUE string").select("_id", F.col("`_attr.name`").alias("name"))
+    names = keys.agg(F.map_from_entries(F.collect_set(F.struct("_id", "name"))).alias("names"))  # a file has a few keys
+    named = F.map_from_entries(F.transform(F.coalesce("data", F.array()), lambda d: F.struct(F.coalesce(F.col("names")[d["_key"]], d["_key"]), d["_VALUE"]))).alias("data")
+    nodes = read("node", f"_id string, {data}").join(F.broadcast(names), F.lit(True))
+    edges = read("edge", f"_source string, _target string, {data}").join(F.broadcast(names), F.lit(True))
+    return nodes.select(F.col("_id").alias("id"), named), edges.select(F.col("_source").alias("u"), F.col("_target").alias("v"), named)
+
+
+def networks(spark: SparkSession, path: str, uid: int | None = None, period: int | None = None) -> DataFrame:
+    """Network documents (uid, period, document) from gzip JSON lines, of one user or period if given."""
+    j = spark.read.schema("uid long, period long, document string").json(path)
+    for name, value in (("uid", uid), ("period", period)):
+        if value is not None:
+            j = j.where(F.col(name) == value)
+    return j
+
+
+def write_by_period(df: DataFrame, path: str) -> None:
+    """Parquet in a folder a period; periods of ``df`` are replaced, the others stay, so that an interrupted run goes on with what is missing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+
+
+def dataset_to_csv(spark: SparkSession, source: str, target: str, schema: str) -> None:
+    """Gzip CSV with a header, a folder a file number, of feature rows in JSON lines: files ``*_<number>.json[.gz]`` of a folder; ``crash`` as 0 or 1."""
+    j = spark.read.schema(schema).json(source).withColumn("part", F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.json", 1))
+    flag = F.when(F.lower(F.col("crash").cast("string")).isin("true", "1", "1.0"), 1).otherwise(0)
+    j.withColumn("crash", flag).write.mode("overwrite").partitionBy("part").option("header", True).option("compression", "gzip").csv(target)
