@@ -28,14 +28,17 @@ def movements(from_to: DataFrame, trips: DataFrame) -> DataFrame:
 
 
 def movement_features(from_to: DataFrame, trips: DataFrame) -> DataFrame:
-    """Per movement: support, and median, mean and deviation of length and duration, each within its quartile range."""
-    keys = ["uid", "loc_from", "loc_to"]
-    t = from_to.join(trips.select("uid", "tid", "length_km", "duration"), ["uid", "tid"])
-    out = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("support"))
-    for c in ("length_km", "duration"):
-        part = stats.within_quartiles(t.select(*keys, c), keys, c).groupBy(*keys).agg(F.median(c).alias(f"median_{c}"), F.avg(c).alias(f"avg_{c}"), F.stddev_pop(c).alias(f"std_{c}"))
-        out = out.join(part, keys)
-    return out
+    """Per movement: support, and median, mean and deviation of length and duration, each within its quartile range.
+
+    One shuffle: a row holds the measures of one user's movement.
+    """
+    keys, measures = ["uid", "loc_from", "loc_to"], ["length_km", "duration"]
+    t = from_to.join(trips.select("uid", "tid", *measures), ["uid", "tid"])
+    lists = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("support"), *[F.array_sort(F.collect_list(F.col(c).cast("double"))).alias(c) for c in measures])
+    kept = lists.select(*keys, "support", *[stats.within_own_quartiles(F.col(c)).alias(c) for c in measures]).where(F.least(*map(F.size, measures)) > 0)
+    means = kept.withColumns({f"avg_{c}": stats.mean_of(F.col(c)) for c in measures})
+    std = lambda c: F.sqrt(stats.mean_of(F.transform(c, lambda x: F.pow(x - F.col(f"avg_{c}"), F.lit(2))))).alias(f"std_{c}")
+    return means.select(*keys, "support", *[x for c in measures for x in (stats.quantile_of(F.col(c), 0.5).alias(f"median_{c}"), F.col(f"avg_{c}"), std(c))])
 
 
 def prototypes(from_to: DataFrame, points: DataFrame) -> DataFrame:

@@ -62,3 +62,13 @@ def test_streams_of_cells_and_events(spark, tmp_path):
     read = lambda p, schema: spark.readStream.schema(schema).parquet(str(tmp_path / p))
     streams.drained(streams.assigned(read("e", "uid long, event_id long, ts timestamp"), read("t", "uid long, tid int, start timestamp, end timestamp")), str(tmp_path / "a"), str(tmp_path / "c2"))
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "a")).select("uid", "tid", "event_id").collect()} == {(1, 0, 10), (1, 1, 12), (2, 0, 13)}
+
+
+def test_movement_features_of_literal_trips(spark):
+    km = [1.0, 2.0, 2.0, 3.0, 100.0]
+    ft = spark.createDataFrame([(1, i, 0, 1) for i in range(5)] + [(1, 9, 1, 0), (2, 0, 0, 0)], "uid long, tid int, loc_from int, loc_to int")
+    trips = spark.createDataFrame([(1, i, x, 60 * (i + 1)) for i, x in enumerate(km)] + [(1, 9, 5.0, 10), (2, 0, None, 10)], "uid long, tid int, length_km double, duration long")
+    got = {(r.uid, r.loc_from, r.loc_to): r for r in movements.movement_features(ft, trips).collect()}
+    a, b = got[1, 0, 1], got[1, 1, 0]
+    assert len(got) == 2 and (a.support, a.median_length_km, a.avg_length_km, a.std_length_km) == (5, 2.0, 2.0, math.sqrt(0.5))
+    assert (a.median_duration, a.avg_duration) == (180.0, 180.0) and (b.support, b.median_length_km, b.std_length_km) == (1, 5.0, 0.0)
