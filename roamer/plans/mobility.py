@@ -115,7 +115,19 @@ def k16_regular_locations_light(spark, sf):
     return movements.regular(movements.support(e), movements.trip_locations(e), prune=False)
 
 
-@query(None)
+@query(
+    L
+    + KNEE_SQL
+    + """, nx AS (SELECT r.uid, r.lid, coalesce(list(DISTINCT loc_to) FILTER (WHERE loc_to <> loc_from), []) AS nx FROM reg r LEFT JOIN ft ON ft.uid = r.uid AND ft.loc_from = r.lid GROUP BY 1, 2),
+st(uid, cur) AS (
+  SELECT uid, list({'lid': lid, 'nx': nx} ORDER BY lid) FROM nx GROUP BY uid
+  UNION ALL
+  SELECT uid, list_filter(cur, lambda x: x.lid <> gone)
+  FROM (SELECT uid, cur, list_filter(cur, lambda x: NOT list_has_any(x.nx, list_transform(cur, lambda y: y.lid)))[1].lid AS gone FROM st WHERE len(cur) > 2)
+  WHERE gone IS NOT NULL),
+kept AS (SELECT uid, arg_min(cur, len(cur)) AS cur FROM st GROUP BY uid)
+SELECT uid, lid FROM (SELECT uid, unnest(list_transform(cur, lambda x: x.lid)) AS lid FROM kept)"""
+)
 def k16_regular_locations_pruned(spark, sf):
     e = located(spark, sf)
     return movements.regular(movements.support(e), movements.trip_locations(e))
@@ -194,9 +206,35 @@ def k18_triangles(spark, sf):
     return graph.triangles(from_to(spark, sf))
 
 
-@query(None)
+@query(
+    L
+    + """, de AS (SELECT DISTINCT uid, loc_from AS a, loc_to AS b FROM ft),
+v AS (SELECT uid, a AS v FROM de UNION SELECT uid, b FROM de), nn AS (SELECT uid, count(*) AS n FROM v GROUP BY uid),
+dr AS (SELECT * FROM de WHERE a <> b), und AS (SELECT uid, a, b FROM dr UNION SELECT uid, b, a FROM dr),
+deg AS (SELECT v.uid, v.v, count(und.b) AS k FROM v LEFT JOIN und ON und.uid = v.uid AND und.a = v.v GROUP BY 1, 2),
+tri AS (SELECT x.uid, x.a AS v, count(*) AS n2 FROM und x JOIN und y ON y.uid = x.uid AND y.a = x.a JOIN und z ON z.uid = x.uid AND z.a = x.b AND z.b = y.b GROUP BY 1, 2),
+lo AS (SELECT deg.uid, avg(CASE WHEN k > 1 THEN coalesce(n2, 0) / (k * (k - 1)) ELSE 0 END) AS avg_clustering, avg(CASE WHEN n > 1 THEN k / (n - 1) ELSE 0 END) AS avg_degree_centrality FROM deg JOIN nn USING (uid) LEFT JOIN tri USING (uid, v) GROUP BY 1),
+uw(uid, s, v, d) AS (SELECT uid, v, v, 0 FROM v UNION SELECT uw.uid, s, b, d + 1 FROM uw JOIN und ON und.uid = uw.uid AND und.a = uw.v JOIN nn ON nn.uid = uw.uid WHERE d + 1 < n),
+ud AS (SELECT uid, s, v, min(d) AS d FROM uw GROUP BY 1, 2, 3),
+ec AS (SELECT uid, s, max(d) AS e, min(v) AS root, count(*) AS size FROM ud GROUP BY 1, 2),
+big AS (SELECT uid, arg_min(root, (-size, root)) AS root FROM ec GROUP BY uid),
+wh AS (SELECT uid, max(e)::INT AS diameter, avg(e) AS avg_eccentricity FROM ec JOIN big USING (uid, root) GROUP BY uid),
+ak AS (SELECT und.uid, p.k AS x, q.k AS y FROM und JOIN deg p ON p.uid = und.uid AND p.v = und.a JOIN deg q ON q.uid = und.uid AND q.v = und.b),
+aso AS (SELECT uid, CASE WHEN min(x) = max(x) THEN -1 ELSE corr(x, y) END AS assortativity FROM ak GROUP BY uid),
+dw(uid, s, v, d) AS (SELECT uid, v, v, 0 FROM v UNION SELECT dw.uid, s, b, d + 1 FROM dw JOIN dr ON dr.uid = dw.uid AND dr.a = dw.v JOIN nn ON nn.uid = dw.uid WHERE d + 1 < n),
+dd AS (SELECT uid, s, v, min(d) AS d FROM dw GROUP BY 1, 2, 3),
+sp(uid, s, v, d) AS (SELECT uid, v, v, 0 FROM v UNION ALL SELECT sp.uid, sp.s, dr.b, sp.d + 1 FROM sp JOIN dr ON dr.uid = sp.uid AND dr.a = sp.v JOIN dd ON dd.uid = sp.uid AND dd.s = sp.s AND dd.v = dr.b AND dd.d = sp.d + 1),
+sg AS (SELECT uid, s, v, any_value(d) AS d, count(*) AS n FROM sp GROUP BY 1, 2, 3),
+nb AS (SELECT uid, v, sum(part) AS c FROM (SELECT p.uid, p.v, p.n * q.n / w.n AS part FROM sg p JOIN sg q ON q.uid = p.uid AND q.s = p.v JOIN sg w ON w.uid = p.uid AND w.s = p.s AND w.v = q.v WHERE p.d > 0 AND q.d > 0 AND w.d = p.d + q.d) GROUP BY 1, 2),
+eb AS (SELECT uid, a, b, sum(part) AS c FROM (SELECT p.uid, dr.a, dr.b, p.n * q.n / w.n AS part FROM dr JOIN sg p ON p.uid = dr.uid AND p.v = dr.a JOIN sg q ON q.uid = dr.uid AND q.s = dr.b JOIN sg w ON w.uid = dr.uid AND w.s = p.s AND w.v = q.v WHERE w.d = p.d + 1 + q.d) GROUP BY 1, 2, 3),
+mb AS (SELECT uid, max(c) AS c FROM nb GROUP BY uid), me AS (SELECT uid, max(c) AS c FROM eb GROUP BY uid)
+SELECT uid, diameter, round(avg_clustering, 6) AS avg_clustering, round(avg_eccentricity, 6) AS avg_eccentricity, round(coalesce(assortativity, -1), 6)::DOUBLE AS assortativity, round(avg_degree_centrality, 6) AS avg_degree_centrality,
+       round(coalesce(mb.c, 0) / CASE WHEN n > 2 THEN (n - 1) * (n - 2) ELSE 1 END, 6) AS max_betweenness, round(coalesce(me.c, 0) / CASE WHEN n > 1 THEN n * (n - 1) ELSE 1 END, 6) AS max_edge_betweenness
+FROM nn JOIN lo USING (uid) JOIN wh USING (uid) LEFT JOIN aso USING (uid) LEFT JOIN mb USING (uid) LEFT JOIN me USING (uid)"""
+)
 def k18_graph_metrics(spark, sf):
-    return graph.metrics(from_to(spark, sf))
+    m = graph.metrics(from_to(spark, sf))
+    return m.select("uid", "diameter", *[r(c) for c in m.columns if c not in ("uid", "diameter")])
 
 
 @query(L + ", c AS (SELECT uid, loc_from % 3 AS c1, loc_to % 3 AS c2, count(*) AS weight FROM ft GROUP BY uid, loc_from, loc_to) SELECT uid, c1, c2, sum(weight)::BIGINT AS weight FROM c GROUP BY 1, 2, 3")
