@@ -43,7 +43,11 @@ STATE = "tid int, fresh boolean, trip array<array<double>>, last array<double>,
 
 
 def online_trips(positions: DataFrame, temporal: float = 28800, spatial_m: float = 50, max_speed: float = 0.07, late: str = "1 hour") -> DataFrame:
-    """Trips by the stateful segmentation, emitted when a stop ends them or the user is silent beyond the threshold and the watermark."""
+    """Trips by the stateful segmentation, emitted when a stop ends them or the user is silent beyond the threshold and the watermark.
+
+    A silent user's state is two points and a number, so trips go on being numbered and joined as in a batch.
+    Rows that come after their user's trip was given out, but belong to it, are late and dropped.
+    """
 
     def summary(uid: int, tid: int, trip: list) -> tuple:
         return uid, tid, len(trip), int(trip[0][2]), int(trip[-1][2]), float(sum(p[3] for p in trip))
@@ -58,15 +62,17 @@ def online_trips(positions: DataFrame, temporal: float = 28800, spatial_m: float
         if state.hasTimedOut:
             if kept := fold.finished():
                 out.append(summary(key[0], fold.tid, kept))
-            state.remove()
+            fold.trip = []  # given out; the last point stays, since the next trip begins there
         else:
             new = pd.concat(list(frames)).sort_values(["t", "event_id"])
             for x in new.itertuples():
-                if fold.last is None or x.t >= fold.last[2]:
+                since = None if fold.last is None else x.t - fold.last[2]
+                if since is None or since > temporal or since >= 0 and fold.trip:
                     if done := fold.add((x.lon, x.lat, int(x.t))):
                         out.append(summary(key[0], *done))
-            state.update((fold.tid, fold.fresh, [list(map(float, p)) for p in fold.trip], list(map(float, fold.last)), list(map(float, fold.anchor))))
-            state.setTimeoutTimestamp(max(int(fold.last[2] + temporal) * 1000, state.getCurrentWatermarkMs() + 1))
+            if fold.trip:
+                state.setTimeoutTimestamp(max(int(fold.last[2] + temporal) * 1000, state.getCurrentWatermarkMs()) + 1)
+        state.update((fold.tid, fold.fresh, [list(map(float, p)) for p in fold.trip], list(map(float, fold.last)), list(map(float, fold.anchor))))
         yield pd.DataFrame(out, columns=["uid", "tid", "n_points", "start_ts", "end_ts", "length_km"])
 
     keyed = positions.withWatermark("ts", late).select("uid", "t", "event_id", "lon", "lat", "ts")
