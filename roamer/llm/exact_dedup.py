@@ -5,7 +5,10 @@ the words of 64 slots in which rows met. Pass 2 probes every row: rows whose
 words are kept in both tables possibly repeat and are compared exactly by the
 hash of their whole text; all others are unique for certain and pass straight
 through without a shuffle. The filter grows with the rows up to the bound of
-what is broadcast; beyond 10^9 rows more and more unique rows are compared too.
+what is broadcast, reached at 10^9 rows; ``mark_duplicates`` deals more
+fingerprints into parts by hash and filters part after part, so the filter is as
+sharp at any size. ``deduplicate`` reads whole rows once and keeps to one filter;
+beyond that bound it compares more and more unique rows too.
 
 Texts are equal when they are identical after each run of space, tab, line
 feed, vertical tab, form feed and carriage return became one space; null counts
@@ -19,10 +22,12 @@ untouched.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roamer.llm.store import repeat_filter, repeat_words, repeated, written
+from roamer.llm.store import dropped, part_of, repeat_filter, repeat_parts, repeat_words, repeated, written
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -49,6 +54,18 @@ def possibly_repeated(rows: DataFrame, prints: DataFrame) -> DataFrame:
     return repeated(rows, F.col("digest"), repeat_filter(prints, "digest", words), words)
 
 
+def _probed(prints: DataFrame) -> DataFrame:
+    """The fingerprints with ``maybe``; a part too large for one filter is never made."""
+    parts = repeat_parts(prints.count())
+    if parts == 1:
+        return possibly_repeated(prints, prints)
+    dealt = written(prints.withColumn("part", part_of(F.col("digest"), parts)), "dedup-parts", by=["part"])
+    own = [dealt.where(F.col("part") == i).drop("part") for i in range(parts)]
+    seen = reduce(DataFrame.unionByName, [written(possibly_repeated(p, p), "dedup-seen") for p in own])
+    dropped(dealt)
+    return seen
+
+
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
@@ -58,7 +75,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     third of all rows is split by the adaptive skew join.
     """
     prints = _fingerprints(docs, id_col, text_col)
-    seen = possibly_repeated(prints, prints)
+    seen = _probed(prints)
     maybe = seen.where("maybe").select("row_id", "id", "digest")
     groups = written(
         maybe.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("row_id").alias("row_id"))).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"),

@@ -34,8 +34,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
+def written(df: DataFrame, name: str, by: list[str] | None = None, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet, in folders by the columns ``by``, to the shared folder and read it again.
 
     This cuts the lineage: what follows survives the loss of any executor
     without running ``df`` again, and numbers that depend on the task (chunk
@@ -43,7 +43,7 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.options(compression="zstd", **options).parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_point = path
     return out
@@ -140,6 +140,15 @@ def repeat_words(keys: int) -> int:
     return max(BLOCK_BITS, min(MOST_WORDS, -(-keys // KEYS_A_WORD)))
 
 
+def repeat_parts(keys: int) -> int:
+    """In how many parts, by hash, so many keys are filtered one after the other: a part's tables are within ``MOST_WORDS``."""
+    return max(1, -(-keys // (MOST_WORDS * KEYS_A_WORD)))
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(TABLES)), F.lit(parts)).cast("int")
+
+
 def repeat_filter(keys: DataFrame, column: str, words: int) -> list[DataFrame]:
     """Pass 1: for each hash function the blocks of words in which two keys met in a slot.
 

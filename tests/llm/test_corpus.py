@@ -27,8 +27,12 @@ def test_dedup_cases(odd):
 
 def test_a_full_filter_changes_nothing(docs, monkeypatch):
     want = sorted(map(str, exact_dedup.mark_duplicates(docs).collect()))
-    monkeypatch.setattr(exact_dedup, "repeat_words", lambda n: 2)
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "repeat_words", lambda n: 2)
+        assert sorted(map(str, exact_dedup.mark_duplicates(docs).collect())) == want
+    monkeypatch.setattr(exact_dedup, "repeat_parts", lambda n: 3)  # parts by hash, one filter after the other
     assert sorted(map(str, exact_dedup.mark_duplicates(docs).collect())) == want
+    assert store.repeat_parts(0) == store.repeat_parts(1 << 30) == 1 and store.repeat_parts(10**10) == 10
 
 
 def test_only_possibly_repeated_rows_are_compared(spark):
