@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamer.functions import clock, geo, stats
-from roamer.operators import tripdist
+from roamer.operators import cells, tripdist
 
 #: More periods than any history has months.
 PERIODS = 100000
@@ -94,6 +94,17 @@ def user_and_period(df: DataFrame) -> DataFrame:
     return df.withColumns({"period": F.pmod("uid", F.lit(PERIODS)), "uid": F.floor(F.col("uid") / PERIODS)})
 
 
+def in_windows(trips: DataFrame, windows: DataFrame) -> DataFrame:
+    """Trips whose ``uid`` stands for a user in the training or test part of a window; ``user_and_window`` gives all three back."""
+    met = cells.in_windows(trips, windows, "start_ts")
+    return met.withColumn("uid", F.col("uid") * PERIODS + F.col("index") * 2 + (F.col("part") == "test").cast("int")).drop("index", "part")
+
+
+def user_and_window(df: DataFrame) -> DataFrame:
+    code = F.pmod("uid", F.lit(PERIODS))
+    return df.withColumns({"index": F.shiftright(code, 1), "part": F.when(code % 2 == 1, "test").otherwise("train"), "uid": F.floor(F.col("uid") / PERIODS)})
+
+
 def support(located: DataFrame) -> DataFrame:
     return located.groupBy("uid", "lid").agg(F.count(F.lit(1)).alias("support"))
 

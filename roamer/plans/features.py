@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roamer.functions import geo, quadtree, stats
-from roamer.operators import annotate, cells, features, movements, spatial, tripdist
+from roamer.operators import annotate, cells, features, locations, movements, spatial, tripdist
 from roamer.plans.basic import EVENTS_SQL, trip_events
-from roamer.plans.mobility import L, located
+from roamer.plans.mobility import LINK, LOCATED_SQL, L, located
 from roamer.plans.registry import WITH_HISTORY, WITH_TRIPS, history, points, query, r, table, trips
 from roamer.sources import tables
 
@@ -61,6 +61,32 @@ def p09_m02_trips_in_periods(spark, sf):
     return cells.in_periods(trips(spark, sf), cells.months(spark, *MONTHS), "start_ts").select("uid", "tid", "period")
 
 
+PARTS_SQL = ", parts AS (SELECT index, 'train' AS part, train_lo AS lo, train_hi AS hi FROM win UNION ALL SELECT index, 'test', test_lo, test_hi FROM win) "
+
+
+@query(WITH_HISTORY + WINDOWS_SQL + PARTS_SQL + "SELECT uid, event_id, record_type AS event_type, index, part FROM history JOIN parts ON t >= lo AND t < hi WHERE record_type NOT IN ('P', 'X')")
+def m02_events_in_windows(spark, sf):
+    events = tables.routed(history(spark, sf))[2]
+    return cells.in_windows(events, cells.sliding(cells.months(spark, *MONTHS), 4)).select("uid", "event_id", "event_type", "index", "part")
+
+
+@query(
+    WITH_TRIPS
+    + WINDOWS_SQL
+    + PARTS_SQL
+    + ", pt AS (SELECT trips.* REPLACE (uid * 100000 + index * 2 + (part = 'test')::INT AS uid) FROM trips JOIN parts ON start_ts >= lo AND start_ts < hi)"
+    + LOCATED_SQL.replace("FROM trips)", "FROM pt)").replace("JOIN trips USING", "JOIN pt USING")
+    + """, e AS (SELECT DISTINCT uid, loc_from AS a, loc_to AS b FROM ft), n AS (SELECT uid, count(*) AS nodes FROM (SELECT uid, a AS v FROM e UNION SELECT uid, b FROM e) GROUP BY 1),
+m AS (SELECT uid, count(*) AS edges FROM e GROUP BY 1), tt AS (SELECT uid, count(*) AS n_trips, round(sum(length_km), 6) AS km FROM pt GROUP BY 1)
+SELECT uid // 100000 AS uid, uid % 100000 // 2 AS index, CASE uid % 2 WHEN 1 THEN 'test' ELSE 'train' END AS part, n_trips, km, nodes, edges FROM n JOIN m USING (uid) JOIN tt USING (uid)"""
+)
+def m02_networks_in_windows(spark, sf):
+    t = movements.in_windows(trips(spark, sf), cells.sliding(cells.months(spark, *MONTHS), 4))
+    ft = movements.trip_locations(locations.by_linkage(locations.endpoints(t), LINK))
+    own = t.groupBy("uid").agg(F.count(F.lit(1)).alias("n_trips"), F.round(F.sum("length_km"), 6).alias("km"))
+    return movements.user_and_window(movements.graph_summary(ft).join(own, "uid")).select("uid", "index", "part", "n_trips", "km", "nodes", "edges")
+
+
 @query(WITH_HISTORY + f", k AS (SELECT DISTINCT substr({PATH}, 1, 7 + (uid % 3)::INT * 3) AS path FROM history WHERE record_type = 'X'), p AS (SELECT DISTINCT {PATH} AS path FROM history WHERE record_type = 'P'), m AS (SELECT p.path, arg_max(k.path, length(k.path)) AS prefix FROM p JOIN k ON starts_with(p.path, k.path) GROUP BY 1) SELECT path, coalesce(prefix, '') AS prefix FROM p LEFT JOIN m USING (path)")
 def j13_longest_prefix(spark, sf):
     p, x, _ = tables.routed(history(spark, sf))
@@ -314,11 +340,19 @@ def t06_t07_t10_t11_trip_distances(spark, sf):
     return p.select("uid", "tid", "other", F.round(tripdist.trip_distance("a", "b"), 3).alias("distance"), F.round(tripdist.trip_inclusion("a", "b", 50000.0), 3).alias("inclusion"), tripdist.trip_inclusion_in_time("a", "b", 20000.0, 7200.0).alias("shared"), F.round(tripdist.trip_approximation("a", "b", 50000.0)["compared"], 3).alias("approximation"), F.size(tripdist.tail_of(F.col("a"), 5000.0)).alias("n_tail"))
 
 
+def _visited(spark, sf):
+    e = located(spark, sf)
+    return e.groupBy("uid", "lid").agg(F.count(F.lit(1)).alias("support"), F.avg("t").alias("t")).select("uid", "lid", F.col("support").cast("double").alias("support"), (F.pmod("t", F.lit(86400)) / 3600).alias("hour"))
+
+
 @query(None)
 def k20_semantic_clusters(spark, sf):
-    e = located(spark, sf)
-    x = e.groupBy("uid", "lid").agg(F.count(F.lit(1)).alias("support"), F.avg("t").alias("t")).select("uid", "lid", F.col("support").cast("double").alias("support"), (F.pmod("t", F.lit(86400)) / 3600).alias("hour"))
-    return annotate.semantic(x, ["support", "hour"], [4, 8, 12])
+    return annotate.semantic(_visited(spark, sf), ["support", "hour"], [4, 8, 12])
+
+
+@query(None)
+def k20_cluster_sweep(spark, sf):
+    return annotate.sweep(_visited(spark, sf), ["support", "hour"], [2, 4, 8, 12])
 
 
 @query(None)
