@@ -334,6 +334,82 @@ def t05_sub_trips(spark, sf):
     return _pairs(spark, sf).select("uid", "tid", F.size(tripdist.between_times(F.col("a"), 28800, 64800)).cast("long").alias("n_day"))
 
 
+def _closest(a: str, b: str, z: str) -> str:
+    """The closest place to z on a-b in SQL, as a struct of lon and lat."""
+    d = f"(pow({b}.lon - {a}.lon, 2) + pow({b}.lat - {a}.lat, 2))"
+    u = f"((({z}.lon - {a}.lon) * ({b}.lon - {a}.lon) + ({z}.lat - {a}.lat) * ({b}.lat - {a}.lat)) / {d})"
+    return f"CASE WHEN {d} = 0 THEN {{'lon': {z}.lon, 'lat': {z}.lat}} WHEN {u} < 0 THEN {{'lon': {a}.lon, 'lat': {a}.lat}} WHEN {u} > 1 THEN {{'lon': {b}.lon, 'lat': {b}.lat}} ELSE {{'lon': {a}.lon + {u} * ({b}.lon - {a}.lon), 'lat': {a}.lat + {u} * ({b}.lat - {a}.lat)}} END"
+
+
+def _apart(a: str, b: str) -> str:
+    return geo.sql_distance(f"{a}.lon", f"{a}.lat", f"{b}.lon", f"{b}.lat")
+
+
+#: Consecutive trips p and q of a user as lists of places, and the sections of p.
+WAYS_SQL = (
+    WITH_TRIPS
+    + """, ways AS (SELECT uid, tid, list({'lon': lon, 'lat': lat, 'ts': t} ORDER BY seq) AS p FROM points GROUP BY 1, 2 HAVING count(*) >= 2),
+pq AS (SELECT * FROM (SELECT uid, tid, p, lead(tid) OVER w AS other, lead(p) OVER w AS q FROM ways WINDOW w AS (PARTITION BY uid ORDER BY tid)) WHERE other IS NOT NULL),
+sections AS (SELECT uid, tid, k, p[k] AS a, p[k + 1] AS b FROM (SELECT *, unnest(range(1, len(p))) AS k FROM pq)) """
+)
+
+
+@query(
+    WAYS_SQL
+    + f""", walk(uid, tid, i, j, x, y, total, n) AS (
+  SELECT uid, tid, 1::BIGINT, 1::BIGINT, {{'lon': p[1].lon, 'lat': p[1].lat}}, {{'lon': q[1].lon, 'lat': q[1].lat}}, {_apart('p[1]', 'q[1]')}, 1 FROM pq
+  UNION ALL
+  SELECT uid, tid, i, j, x, y, total + {_apart('x', 'y')}, n + 1 FROM (
+    SELECT uid, tid, i + (da <= db)::INT AS i, j + (da >= db)::INT AS j, CASE WHEN da <= db THEN to_ ELSE {_closest('x', 'to_', 'next_')} END AS x, CASE WHEN da >= db THEN next_ ELSE {_closest('y', 'next_', 'to_')} END AS y, total, n
+    FROM (SELECT *, {_apart('x', 'to_')} AS da, {_apart('y', 'next_')} AS db
+          FROM (SELECT walk.*, {{'lon': p[i + 1].lon, 'lat': p[i + 1].lat}} AS to_, {{'lon': q[j + 1].lon, 'lat': q[j + 1].lat}} AS next_ FROM walk JOIN pq USING (uid, tid) WHERE i < len(p) AND j < len(q))))),
+ends_ AS (SELECT uid, tid, max((n, i, j, total)) AS e FROM walk GROUP BY 1, 2),
+rest AS (SELECT uid, tid, sum(d) AS d, count(*) AS n FROM (
+  SELECT uid, tid, {_apart('l', 'z')} AS d FROM (SELECT uid, tid, q[len(q)] AS l, unnest(p[e[2]:]) AS z FROM ends_ JOIN pq USING (uid, tid))
+  UNION ALL SELECT uid, tid, {_apart('l', 'z')} FROM (SELECT uid, tid, p[len(p)] AS l, unnest(q[e[3]:]) AS z FROM ends_ JOIN pq USING (uid, tid))) GROUP BY 1, 2)
+SELECT uid, tid, other, round((e[4] + d) / (e[1] + n), 2) AS distance FROM ends_ JOIN rest USING (uid, tid) JOIN pq USING (uid, tid)"""
+)
+def t07_synchronised_distances(spark, sf):
+    return _pairs(spark, sf).select("uid", "tid", "other", F.round(tripdist.trip_distance("a", "b"), 2).alias("distance"))
+
+
+@query(
+    WAYS_SQL
+    + f""", found(uid, tid, j, k, total) AS (
+  SELECT uid, tid, 0::BIGINT, 1::BIGINT, 0::DOUBLE FROM pq
+  UNION ALL
+  SELECT uid, tid, j + 1, best[2], CASE WHEN best[1] > 50000 THEN 'inf'::DOUBLE ELSE total + best[1] END FROM (
+    SELECT uid, tid, j, total, min((d, k)) AS best FROM (
+      SELECT uid, tid, j, total, k, {_apart('c', 'z')} AS d FROM (
+        SELECT uid, tid, j, total, k, z, {_closest('a', 'b', 'z')} AS c FROM (
+          SELECT f.uid, f.tid, f.j, f.total, s.k, s.a, s.b, q[f.j + 1] AS z FROM found f JOIN pq ON pq.uid = f.uid AND pq.tid = f.tid JOIN sections s ON s.uid = f.uid AND s.tid = f.tid AND s.k >= f.k WHERE f.j < len(q) AND f.total < 'inf'::DOUBLE))) GROUP BY 1, 2, 3, 4))
+SELECT uid, tid, other, round(max(total), 2) AS inclusion FROM found JOIN pq USING (uid, tid) GROUP BY 1, 2, 3"""
+)
+def t10_inclusion(spark, sf):
+    return _pairs(spark, sf).select("uid", "tid", "other", F.round(tripdist.trip_inclusion("a", "b", 50000.0), 2).alias("inclusion"))
+
+
+def _nearest_section(place: str, after: str) -> str:
+    """(metres, section, time) of the closest place of p to a place of q, not before a section."""
+    way = f"CASE WHEN {_apart('c', 'a')} = 0 THEN a.ts ELSE a.ts + (b.ts - a.ts) * {_apart('a', 'c')} / {_apart('a', 'b')} END"
+    at = f"CASE WHEN a.lon = b.lon AND a.lat = b.lat THEN z.ts WHEN c.lon = b.lon AND c.lat = b.lat THEN b.ts ELSE {way} END"
+    return f"SELECT uid, tid, min((d, k, tz)) AS m FROM (SELECT uid, tid, k, {_apart('c', 'z')} AS d, ({at})::DOUBLE AS tz FROM (SELECT uid, tid, k, a, b, z, {_closest('a', 'b', 'z')} AS c FROM (SELECT s.*, {place} AS z FROM sections s JOIN pq USING (uid, tid) {after}))) GROUP BY 1, 2"
+
+
+@query(
+    WAYS_SQL
+    + f""", up AS ({_nearest_section('q[1]', '')}),
+down AS ({_nearest_section('q[len(q)]', 'JOIN up USING (uid, tid) WHERE k >= up.m[2]')}),
+late AS (SELECT uid, tid, other, up.m AS u, down.m AS d, (up.m[3] - q[1].ts) % 86400 AS l1, (down.m[3] - q[len(q)].ts) % 86400 AS l2 FROM pq JOIN up USING (uid, tid) JOIN down USING (uid, tid)),
+hours AS (SELECT *, least((l1 + 86400) % 86400, (86400 - l1) % 86400) AS t1, least((l2 + 86400) % 86400, (86400 - l2) % 86400) AS t2 FROM late)
+SELECT uid, tid, other, round(u[1] + d[1], 2) AS total, (u[2] - 1)::INT AS up_segment, (d[2] - 1)::INT AS down_segment, round(t1, 2) AS up_late, round(t2, 2) AS down_late
+FROM hours WHERE u[1] <= 50000 AND d[1] <= 50000 AND t1 <= 14400 AND t2 <= 14400"""
+)
+def t11_shared_ways(spark, sf):
+    p = _pairs(spark, sf).select("uid", "tid", "other", tripdist.trip_inclusion_in_time("a", "b", 50000.0, 14400.0).alias("s")).where("s.total is not null")
+    return p.select("uid", "tid", "other", F.round("s.total", 2).alias("total"), "s.up_segment", "s.down_segment", F.round("s.up_late", 2).alias("up_late"), F.round("s.down_late", 2).alias("down_late"))
+
+
 @query(None)
 def t06_t07_t10_t11_trip_distances(spark, sf):
     p = _pairs(spark, sf)
