@@ -15,12 +15,16 @@ probes the long ones by binary search. Spread over a cluster that becomes:
 4. A hub that more than ``HOT`` documents meet most often is compared with
    these, in blocks: a family of near copies becomes one component in one pass.
    Lists within one component are done.
-5. The documents of the lists that remain form groups, and documents that may be
-   linked share a group. A group is searched with DivideSkip (``Group``), with
-   only unreached documents as candidates. Large groups are dealt into blocks of
-   ``BLOCK`` classes and ``WEIGHT`` shingles at most (one class at least), and
-   blocks meet in pairs; a large component of step 4 has blocks of its own,
-   which don't meet each other.
+5. The documents of a list that remains are compared by sketches: a bit for each
+   of some buckets, set if an odd number of shingles fall there. Sets differ by
+   as many shingles as their sketches by bits at least, so no linked pair is
+   lost, and few others stay. Lists of more than ``PART`` documents are dealt
+   into parts that meet in pairs.
+6. What stays forms groups, and linked documents share a group. A group is
+   searched with DivideSkip (``Group``), with only unreached documents as
+   candidates. Large groups are dealt into blocks of ``BLOCK`` classes and
+   ``WEIGHT`` shingles at most (one class at least), and blocks meet in pairs; a
+   large component of step 4 has blocks of its own, which don't meet each other.
 
 Similarity is tested as den * |x n y| >= num * |x u y| on whole sets.
 
@@ -53,6 +57,8 @@ from roamer.llm.store import dropped, filtered, lean, row_hash, short_batches, w
 BLOCK, WEIGHT = 512, 1 << 21
 #: From so many documents on, a hub is compared with them before groups are formed.
 HOT = 128
+#: Documents of a part of a list; two parts are compared together.
+PART = 1024
 #: Cost of merging a list against probing it, as in DivideSkip's L = T / (MU log2 M + 1), M the longest list.
 MU = 0.0085
 
@@ -87,22 +93,90 @@ def _order(s: np.ndarray) -> np.ndarray:
     return s[np.argsort(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)))]
 
 
+def sketch(s: np.ndarray, num: int, den: int) -> bytes:
+    """Parities of the numbers of shingles in 2^j buckets, four times as many as linked sets of this size differ by at least."""
+    bits = 64
+    while bits * (num + den) < 8 * len(s) * (den - num):
+        bits *= 2
+    at = (mix(s ^ U64(0x3C6EF372FE94F82B)) % U64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as sketches of n words."""
+    while words.shape[1] > n:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def _near(num: int, den: int):
+    """Pairs of a list's cell, of different components, whose sketches don't rule out a link; cells are whole and sorted."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        cell, node, n, comp, part, cross, home = (rows.column(c).to_numpy() for c in ("cell", "num", "n", "comp", "part", "cross", "home"))
+        sketches = rows.column("sketch").combine_chunks()
+        ends = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset : sketches.offset + len(sketches) + 1].astype(np.int64)
+        width, place = np.diff(ends) // 8, ends[:-1] // 8
+        data = np.frombuffer(sketches.buffers()[2], "<u8", ends[-1] // 8)
+        words = {w: data[place[width == w][:, None] + np.arange(w)] for w in np.unique(width).tolist()}
+        index = np.zeros(len(width), np.int64)  # a row's place among those of its width
+        for w in words:
+            index[width == w] = np.arange(len(words[w]))
+        out, first, shift = [], np.arange(len(cell) - 1), 1
+        while len(first := first[first + shift < len(cell)]):
+            first = first[cell[first] == cell[first + shift]]
+            a, b = first, first + shift
+            use = (comp[a] != comp[b]) & (home[a] | home[b]) & ~(cross[a] & (part[a] == part[b]))
+            size = n[a] + n[b]
+            use &= np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num
+            a, b, size = a[use], b[use], size[use]
+            for wa, wb in np.unique(np.stack([width[a], width[b]]), axis=1).T.tolist() if len(a) else ():
+                of = (width[a] == wa) & (width[b] == wb)
+                x, y, least = a[of], b[of], min(wa, wb)
+                apart = np.bitwise_count(folded(words[wa][index[x]], least) ^ folded(words[wb][index[y]], least)).sum(axis=1, dtype=np.int64)
+                near = apart * (num + den) <= size[of] * (den - num)
+                out.append(np.stack([np.minimum(node[x[near]], node[y[near]]), np.maximum(node[x[near]], node[y[near]])]))
+            shift += 1
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
+        return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            kept.append(batch)
+            if sum(map(len, kept)) < 4 * PART:
+                continue
+            rows = pa.Table.from_batches(kept)
+            cell = rows.column("cell").to_numpy()
+            whole = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+            if whole:
+                yield compared(rows.slice(0, whole))
+            kept = rows.slice(whole).to_batches()
+        if kept:
+            yield compared(pa.Table.from_batches(kept))
+
+    return run
+
+
 def _sets(num: int, den: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
-            seen, n, cls, keys = set(), [], [], []
+            seen, n, cls, keys, sketches = set(), [], [], [], []
             for s in shingle_sets(batch.column(2), k):
                 n.append(len(s))
                 cls.append(set_hash(s) if len(s) else None)
                 new = len(s) and cls[-1] not in seen
                 seen.add(cls[-1])
                 keys.append(_order(s)[: taken(len(s), num, den)].astype(np.int64) if new else None)
+                sketches.append(sketch(s, num, den) if new else None)
             numbers = pa.array(np.arange(number, number + len(batch)))
             number += len(batch)
-            yield pa.record_batch([batch.column(0), batch.column(1), numbers, pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "row", "num", "n", "cls", "keys"])
+            yield pa.record_batch([batch.column(0), batch.column(1), numbers, pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "row", "num", "n", "cls", "keys", "sketch"])
 
     return run
 
@@ -308,7 +382,7 @@ def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", te
     short_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", row_hash(F.col("id"), F.col("text")))
     kind = plain.schema["id"].dataType.simpleString()
-    whole = written(plain.select("id", "row", "text").mapInArrow(lean(_sets(num, den, k)), f"id {kind}, row long, num long, n long, cls binary, keys array<long>"), "jaccard-sets")
+    whole = written(plain.select("id", "row", "text").mapInArrow(lean(_sets(num, den, k)), f"id {kind}, row long, num long, n long, cls binary, keys array<long>, sketch binary"), "jaccard-sets")
     rows = written(whole.select("id", "row", "n", "cls"), "jaccard-rows")
     own = whole.where("cls is not null").select("cls", "num", "row", "id", F.col("keys").isNotNull().alias("lists"))
     classes = written(own.groupBy("cls").agg(F.min(F.when(F.col("lists"), F.struct("num", "row"))).alias("first"), F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).select("cls", "first.num", "first.row", "least", "rows"), "jaccard-classes")
@@ -330,33 +404,38 @@ def link(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", te
     mine = mine.withColumn("need", F.expr(need)).where("need > 0").select("num", "n", F.explode(F.expr("slice(got, 1, int(need))")).alias("x"), F.expr(band).alias("band"))
     mine = mine.select("num", "n", F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))).alias("b"), F.col("x.key").alias("key"))
     mine = written(mine.select(F.xxhash64("key", "b.band").alias("key"), "num", "n", F.xxhash64("num", "b.band").alias("node"), "b.home"), "jaccard-short")
+    sketches = written(whole.where("keys is not null").select("num", "n", F.col("num").alias("comp"), "sketch"), "jaccard-sketches")
     dropped(whole, again, long)
     # A list without a document of its own band holds pairs that meet in the band below.
-    hubs = mine.groupBy("key").agg(F.min(F.struct("node", "num")).alias("hub"), F.max("node").alias("top"), F.max("home").alias("home")).where("hub.node <> top and home").select("key", F.col("hub.node").alias("hub"), F.col("hub.num").alias("hub_num"))
+    hubs = mine.groupBy("key").agg(F.min(F.struct("node", "num")).alias("hub"), F.max("node").alias("top"), F.max("home").alias("home"), F.count(F.lit(1)).alias("size")).where("hub.node <> top and home").select("key", F.col("hub.num").alias("hub_num"), "size")
     hubs = written(hubs, "jaccard-hubs")
     # Most lists hold one document: their rows go by a filter of fixed size, without a shuffle.
-    met = written(filtered(mine, F.col("key"), hubs, "key").where("maybe").select("key", "num", "n", "node").join(hubs, "key"), "jaccard-met")
+    met = written(filtered(mine, F.col("key"), hubs, "key").where("maybe").select("key", "num", "home").join(hubs, "key"), "jaccard-met")
     dropped(mine, hubs)
     most = met.where("num <> hub_num").groupBy("num", "hub_num").agg(F.count(F.lit(1)).alias("times")).groupBy("num").agg(F.max_by("hub_num", F.struct("times", "hub_num")).alias("hub_num"))
     most = written(most, "jaccard-most")
     hot = most.groupBy("hub_num").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > HOT).select("hub_num", F.ceil(F.col("members") / F.lit(max(1, BLOCK // 4))).cast("int").alias("parts"))
     hot, links = written(hot, "jaccard-hot"), None
-    if hot.isEmpty():
-        groups = met.withColumn("comp", F.col("num"))
-    else:
+    if not hot.isEmpty():
         part = F.pmod(F.xxhash64("num"), F.col("parts")).cast("long")
         ends = most.join(hot, "hub_num").select(F.col("hub_num").alias("i"), part.alias("j"), "num", F.col("num").alias("comp"), F.lit(0).alias("side"))
         heads = hot.select("hub_num", F.explode(F.expr("sequence(0L, bigint(parts) - 1)")).alias("j"))
         ends = ends.unionByName(heads.select(F.col("hub_num").alias("i"), "j", F.col("hub_num").alias("num"), F.col("hub_num").alias("comp"), F.lit(1).alias("side")))
         links = _linked(plain, classes, ends, num, den, k)
         joined = components(links)
-        groups = met.join(joined.select(F.col("node").alias("num"), F.col("root").alias("comp")), "num", "left").withColumn("comp", F.coalesce("comp", "num"))
-        groups = written(groups, "jaccard-met")
-        mixed = written(groups.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "jaccard-mixed")
-        groups = filtered(groups, F.col("key"), mixed, "key").where("maybe").join(mixed, "key", "left_semi")
-    groups = written(groups.select("num", "n", "comp", "node", "hub").distinct(), "jaccard-nodes")
-    joined = components(groups.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    groups = written(groups.select("num", "n", "comp", "node").distinct().join(joined, "node").select("num", "n", "comp", "root").distinct(), "jaccard-groups")
+        single, sketches = sketches, written(sketches.drop("comp").join(joined.select(F.col("node").alias("num"), F.col("root").alias("comp")), "num", "left").withColumn("comp", F.coalesce("comp", "num")), "jaccard-sketches")
+        mixed = written(met.join(sketches.select("num", "comp"), "num").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "jaccard-mixed")
+        all_met, met = met, written(filtered(met, F.col("key"), mixed, "key").where("maybe").drop("maybe").join(mixed, "key", "left_semi"), "jaccard-met")
+        dropped(single, mixed, all_met)
+    parts = F.ceil(F.col("size") / F.lit(PART)).cast("int")
+    cells = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("num"), F.col("parts")).cast("int"))
+    cells = cells.select("num", "home", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = cells.select("num", "home", "part", (F.col("part") != F.col("other")).alias("cross"), F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"))
+    cells = cells.join(sketches, "num").repartition("cell").sortWithinPartitions("cell")
+    near = written(cells.mapInArrow(lean(_near(num, den)), "a long, b long").distinct(), "jaccard-near")
+    groups = components(near).select(F.col("node").alias("num"), "root").join(sketches.select("num", "n", "comp"), "num")
+    groups = written(groups.select("num", "n", "comp", "root"), "jaccard-groups")
+    dropped(sketches, near)
     found = _linked(plain, classes, _blocks(groups), num, den, k)
     dropped(met, most, hot)
     joined = components(found if links is None else found.unionByName(links))

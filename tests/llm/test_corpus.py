@@ -101,6 +101,33 @@ def test_join_equals_all_pairs(spark, docs, monkeypatch, k, num, den, block, hot
     assert got == brute_components(rows, k, num, den)
 
 
+def test_documents_that_only_share_rare_shingles_form_no_group(spark, monkeypatch):
+    rnd = random.Random(4)
+    shared = [[f"s{i}_{j}" for j in range(12)] for i in range(60)]
+    rows = [(i, " ".join(shared[i] + [f"w{rnd.randrange(10**9)}" for _ in range(150)] + shared[(i + 1) % 60])) for i in range(60)]
+    rows.append((100, rows[7][1] + " more"))
+    seen, blocks = [], jaccard._blocks
+    monkeypatch.setattr(jaccard, "_blocks", lambda groups: seen.append(groups.count()) or blocks(groups))
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(60)} | {100: 7} and seen == [2]
+
+
+def test_sketches_and_parts_of_lists_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 100, 3000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        for cut in (0, 1, n // 20):
+            b = np.concatenate([a[cut:], rng.integers(0, 2**63, n // 2).astype(np.uint64)[: cut * 2]])
+            x, y = (np.frombuffer(jaccard.sketch(s, 90, 100), "<u8")[None, :] for s in (a, b))
+            least = min(x.shape[1], y.shape[1])
+            assert np.bitwise_count(jaccard.folded(x, least) ^ jaccard.folded(y, least)).sum() <= len(np.setxor1d(a, b))
+    monkeypatch.setattr(jaccard, "PART", 2)
+    monkeypatch.setattr(jaccard, "HOT", 1000)
+    rows = [(i, " ".join(f"v{j}" for j in range(i, i + 60))) for i in range(0, 60, 2)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 3, 90, 100)
+
+
 def test_ids_of_another_type_and_null_ids(spark):
     near = "a b c d e f g h i j k l m n o p q r s t"
     rows = [("x", near), ("m", near + " u"), (None, near + " v"), (None, "all alone here"), (None, "two of us"), (None, "two of us"), ("k", "other words entirely")]
