@@ -19,7 +19,8 @@ probes the long ones by binary search. Spread over a cluster that becomes:
    of some buckets, set if an odd number of shingles fall there. Sets differ by
    as many shingles as their sketches by bits at least, so no linked pair is
    lost, and few others stay. Lists of more than ``PART`` documents are dealt
-   into parts that meet in pairs.
+   into parts that meet in pairs. Of the pairs that stay only those are handed
+   on that join two trees, so there are fewer than documents of the lists.
 6. What stays forms groups, and linked documents share a group. A group is
    searched with DivideSkip (``Group``), with only unreached documents as
    candidates. Large groups are dealt into blocks of ``BLOCK`` classes and
@@ -110,8 +111,34 @@ def folded(words: np.ndarray, n: int) -> np.ndarray:
     return words
 
 
+def _trees(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Those pairs, one after the other, that join two trees; ``root`` has the root of every node, before and after."""
+    kept, up = [], {}
+    for a, b in zip(root[x].tolist(), root[y].tolist(), strict=True):
+        a, b = (_top(up, c) for c in (a, b))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            kept.append((min(a, b), max(a, b)))
+    if up:
+        to = np.arange(len(root))
+        to[list(up)] = [_top(up, c) for c in up]
+        root[:] = to[root]
+    return kept
+
+
+def _top(up: dict[int, int], c: int) -> int:
+    while c in up:
+        if up[c] in up:
+            up[c] = up[up[c]]
+        c = up[c]
+    return c
+
+
 def _near(num: int, den: int):
-    """Pairs of a list's cell, of different components, whose sketches don't rule out a link; cells are whole and sorted."""
+    """Links that join, in trees, the documents of a list's cell, of different components, whose sketches don't rule out a link.
+
+    Cells are whole and sorted. What is joined already isn't compared again, so there are fewer links than documents.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compared(rows: pa.Table) -> pa.RecordBatch:
@@ -124,11 +151,12 @@ def _near(num: int, den: int):
         index = np.zeros(len(width), np.int64)  # a row's place among those of its width
         for w in words:
             index[width == w] = np.arange(len(words[w]))
-        out, first, shift = [], np.arange(len(cell) - 1), 1
+        nodes, at = np.unique(node, return_inverse=True)
+        out, root, first, shift = [], np.arange(len(nodes)), np.arange(len(cell) - 1), 1
         while len(first := first[first + shift < len(cell)]):
             first = first[cell[first] == cell[first + shift]]
             a, b = first, first + shift
-            use = (comp[a] != comp[b]) & (home[a] | home[b]) & ~(cross[a] & (part[a] == part[b]))
+            use = (root[at[a]] != root[at[b]]) & (comp[a] != comp[b]) & (home[a] | home[b]) & ~(cross[a] & (part[a] == part[b]))
             size = n[a] + n[b]
             use &= np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num
             a, b, size = a[use], b[use], size[use]
@@ -137,10 +165,10 @@ def _near(num: int, den: int):
                 x, y, least = a[of], b[of], min(wa, wb)
                 apart = np.bitwise_count(folded(words[wa][index[x]], least) ^ folded(words[wb][index[y]], least)).sum(axis=1, dtype=np.int64)
                 near = apart * (num + den) <= size[of] * (den - num)
-                out.append(np.stack([np.minimum(node[x[near]], node[y[near]]), np.maximum(node[x[near]], node[y[near]])]))
+                out += _trees(root, at[x[near]], at[y[near]])
             shift += 1
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
-        return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+        pairs = nodes[np.array(out, np.int64).reshape(-1, 2)]
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []

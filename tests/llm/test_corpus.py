@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -128,6 +129,46 @@ def test_sketches_and_parts_of_lists_lose_no_link(spark, monkeypatch):
     assert got == brute_components(rows, 3, 90, 100)
 
 
+def test_lists_hand_on_fewer_links_than_documents():
+    rng = np.random.default_rng(8)
+    sets, cells = [], []
+    for family in range(30):
+        base = rng.integers(0, 2**63, 400).astype(np.uint64)
+        for _ in range(rng.integers(1, 40)):
+            sets.append(np.unique(np.concatenate([base[rng.integers(0, 30) :], rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64)])))
+            cells.append(family // 3)
+    comp = [i if i % 4 else 0 for i in range(len(sets))]  # a known component: its members aren't compared with each other
+    sketches = [jaccard.sketch(s, 90, 100) for s in sets]
+    columns = {"num": pa.array(range(len(sets)), pa.int64()), "home": pa.array([i % 5 > 0 for i in range(len(sets))]), "part": pa.array([i % 2 for i in range(len(sets))], pa.int32()), "cross": pa.array([c % 2 == 0 for c in cells])}
+    columns |= {"cell": pa.array(cells, pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "sketch": pa.array(sketches, pa.binary()), "comp": pa.array(comp, pa.int64())}
+    rows = pa.record_batch(columns)
+    got = [(a, b) for batch in jaccard._near(90, 100)(iter([rows])) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+
+    def roots(pairs):
+        root = list(range(len(sets)))
+
+        def find(a):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return [find(a) for a in range(len(sets))]
+
+    want = []
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            if cells[a] == cells[b] and comp[a] != comp[b] and (a % 5 or b % 5) and (cells[a] % 2 or a % 2 != b % 2):
+                x, y = (np.frombuffer(sketches[i], "<u8")[None, :] for i in (a, b))
+                least, (n, m) = min(x.shape[1], y.shape[1]), sorted((len(sets[a]), len(sets[b])))
+                apart = int(np.bitwise_count(jaccard.folded(x, least) ^ jaccard.folded(y, least)).sum())
+                if n * 100 >= m * 90 and apart * 190 <= (n + m) * 10:
+                    want.append((a, b))
+    assert roots(got) == roots(want) and len(want) > 2 * len(sets) > 2 * len(got) > 0
+
+
 def test_ids_of_another_type_and_null_ids(spark):
     near = "a b c d e f g h i j k l m n o p q r s t"
     rows = [("x", near), ("m", near + " u"), (None, near + " v"), (None, "all alone here"), (None, "two of us"), (None, "two of us"), ("k", "other words entirely")]
