@@ -53,3 +53,10 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r(column: str, digits: int = 6, name: str | None = None):
     return F.round(column, digits).alias(name or column)
+
+
+def quick(column: str, digits: int = 6, name: str | None = None):
+    """``r`` of a double column for very many rows: the same values, by decimals only where a half is near."""
+    x = F.col(column) * 10.0**digits
+    safe = (F.abs(x - F.rint(x)) < 0.499) & (F.abs(x) < 2.0**40)
+    return F.when(safe, F.rint(x) / 10.0**digits + 0.0).otherwise(F.round(column, digits)).alias(name or column)
